@@ -13,6 +13,8 @@ from fernweave.functions.lineage import stash, unstash
 from fernweave.plans.schema import Graph
 
 DEFAULT_DEPTH, MAX_DEPTH = 5, 20
+#: Hops after which the nodes seen so far become one table again.
+COMPACT = 8
 
 
 def clamp(depth: int | None) -> int:
@@ -35,10 +37,12 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int, seed: bool = False) ->
             break
         parts.append(new)
         seen, frontier = seen.union(new), new
-    out = parts[0] if seed else parts[0].limit(0)
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        if len(parts) == COMPACT:  # many small tables make the plan long
+            whole = stash(seen)
+            unstash(*parts[1:-1])
+            # what was seen holds all parts; the last one is the frontier still
+            parts, seen = [begin, whole], whole
+    return seen
 
 
 def _ends(edges: DataFrame, types: list[str], forward: bool) -> DataFrame:

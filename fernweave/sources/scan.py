@@ -41,8 +41,15 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, pat
 
 def scan_gitignored(spark: SparkSession, root: str, **options) -> DataFrame:
     """A scan with the root's own .gitignore lines before the given patterns."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(root).select("content").limit(1).collect()
-    lines = bytes(found[0]["content"]).decode("utf-8", "replace").splitlines() if found else []
+    # Spark's readers pass over hidden files, so this one is read through the file system
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    lines: list[str] = []
+    if fs.exists(path):
+        stream = fs.open(path)
+        lines = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+        stream.close()
     return scan(spark, root, patterns=lines + (options.pop("patterns", None) or []), **options)
 
 
