@@ -2,49 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernweave.functions.lineage import shared_dir, stash, unstash
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["components", "shared_dir", "small_enough", "stash", "table", "text_of", "unstash"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (as in tests)."""
-    sc = spark.sparkContext
-    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fernweave-"))
-        named = sc.getCheckpointDir()
-    return named
+#: Keys of at most this many rows are broadcast; beyond it the join is by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch: texts reach Python a few megabytes at a time, however long they are.
+ARROW_BYTES = 4 << 20
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash = path
-    return out
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unstash(*dfs: DataFrame) -> None:
-    """Delete stashed tables that are no longer needed."""
-    for df in dfs:
-        path = getattr(df, "_stash", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a stashed table of a few columns, if it has at most so many rows; else the table as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
-    """The text column with null as the empty text."""
+    """The text column with null as the empty text, for functions that take it in batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
