@@ -18,7 +18,8 @@ from fernweave.llm.queries import TOKENIZER
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net, *docs.columns).where("predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return quality.score(rows, net, "row").where("predicted = 1").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

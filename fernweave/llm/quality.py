@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernweave.llm.common import text_of
 
@@ -162,8 +163,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
 
 def score(df: DataFrame, net: Net, *keep: str) -> DataFrame:
     """One row per document: its kept columns, score, predicted."""
-    fields = [df.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int"])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,4 +176,4 @@ def score(df: DataFrame, net: Net, *keep: str) -> DataFrame:
 def classify(df: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = score(df, fit(df, labels), "doc_id")
-    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
