@@ -29,6 +29,8 @@ from fernweave.llm.common import stash, text_of
 
 HEAD, CLASSES, DIM = 640, 128, 24
 NOISE, BATCH = 48, 2048
+#: Words that are at least one in so many of all training tokens are known to every task; there can be no more of them.
+KNOWN = 400_000
 #: Where the sums of squared gradients start.
 INIT = 1.0
 #: Documents of the warm-up sample; of each at most 6000 characters are taken.
@@ -66,6 +68,26 @@ class Symbols(dict):
         return s
 
 
+class Lexicon(dict):
+    """Numbers of words as they come, with their symbols, keys and training counts (-1: not known here)."""
+
+    def __init__(self, symbols: dict[bytes, int], known: dict[bytes, int]):
+        self.symbols, self.known = symbols, known
+        self.symbol, self.key, self.count = [], [], []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.symbol)
+        self.symbol.append(self.symbols[word] if word in self.symbols else HEAD if word == END else tail_class(word))
+        self.key.append(word_key(word))
+        self.count.append(self.known.get(word, 0 if word == END else -1))
+        return n
+
+    def trim(self) -> None:
+        if len(self) > 150_000:
+            self.clear()
+            self.symbol, self.key, self.count = [], [], []
+
+
 SIZE = HEAD + 1 + CLASSES
 START = SIZE
 
@@ -184,9 +206,12 @@ def fit(df: DataFrame, head: dict[bytes, int], unigram: np.ndarray) -> Lbl:
     train = df.where(~held_out(df))
     warm = Lbl(unigram)
     # a bounded sample: by hash, and of long texts the part around a place by hash
-    few = train.select(text_of(df).alias("text")).orderBy(F.xxhash64("text"), "text").limit(WARM_DOCS)
+    key = F.xxhash64(text_of(df))
+    few = train.select(key.alias("h")).distinct().orderBy("h").limit(WARM_DOCS)
     size = F.length("text")
-    texts = [bytes(r[0]) for r in few.select(F.when(size <= 6000, F.col("text")).otherwise(F.substring("text", F.pmod(F.hash("text"), size - 6000) + 1, F.lit(6000))).cast("binary")).collect()]
+    part = F.when(size <= 6000, F.col("text")).otherwise(F.substring("text", F.pmod(F.hash("text"), size - 6000) + 1, F.lit(6000)))
+    found = train.select(key.alias("h"), text_of(df).alias("text")).join(F.broadcast(few), "h").select("h", part.alias("text"))
+    texts = [r["text"].encode() for r in found.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()]
     table = Symbols(head)
     warm.train(symbols_of(texts, table), 0.1)
     shapes = [(k, v.shape) for k, v in warm.p.items()]
@@ -224,81 +249,76 @@ def score(df: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     counts = stash(count(df))
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(HEAD + 1).collect()}
-    ends = top.pop(END, 0)
-    words = list(top)[:HEAD]
+    known = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") * KNOWN >= F.lit(total)).collect()}
+    words = sorted((w for w in known if w != END), key=lambda w: (-known[w], w))[:HEAD]
     head = {w: i for i, w in enumerate(words)} | {END: HEAD}
-    head_counts = np.zeros(HEAD + 1)
-    head_counts[: len(words)] = [top[w] for w in words]
-    head_counts[HEAD] = ends
+    symbols = {w: head[w] if w in head else tail_class(w) for w in known}
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([-1 if (w := x) in head else tail_class(w) for x in batch.column(1).to_pylist()], pa.int32())], ["key", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([-1 if w in head else tail_class(w) for w in batch.column(1).to_pylist()], pa.int32())], ["key", "n", "class"])
 
-    tail = stash(counts.mapInArrow(classed, "key long, n long, class int").where("class >= 0").groupBy("key", "class").agg(F.sum("n").alias("n")))
+    tail = stash(counts.mapInArrow(classed, "key long, n long, class int"))
     class_n, class_v = np.zeros(SIZE), np.zeros(SIZE)
-    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES rows
+    for r in tail.where("class >= 0").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES rows
         class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
     unigram = class_n.copy()
-    unigram[: HEAD + 1] = head_counts
+    for w in head:
+        unigram[head[w]] = known.get(w, 0)
     model = fit(df, head, unigram)
     spare = math.log10(total + 0.5 * (types + 1))
-    head_log = np.log10(head_counts + 0.5) - spare
     size_log = np.log10(class_n + 0.5 * (class_v + 1))
+    size_log[: HEAD + 1] = 0
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
-        own = Symbols(head)
-        keys: dict[bytes, int] = {}
+        seen = Lexicon(symbols, known)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            start = 0
+            texts, start = batch.column(1), 0
             while start < len(texts):
-                group, seqs, rare, n = [], [], [], 0
-                while start + len(group) < len(texts) and n < 200_000:
-                    words = tokens(texts[start + len(group)])
-                    seq = np.fromiter(map(own.__getitem__, words), np.int32, len(words))
-                    group.append(len(words))
-                    seqs.append(seq)
-                    if len(keys) > 300_000:
-                        keys.clear()
-                    c: Counter[int] = Counter()
-                    for i in np.flatnonzero(seq > HEAD).tolist():
-                        w = words[i]
-                        k = keys.get(w)
-                        if k is None:
-                            keys[w] = k = word_key(w)
-                        c[k] += 1
-                    rare.append(c)
+                sizes, parts, n = [], [], 0
+                seen.trim()
+                while start + len(sizes) < len(texts) and n < 200_000:
+                    words = tokens(texts[start + len(sizes)].as_py())
+                    parts.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
+                    sizes.append(len(words))
                     n += len(words)
-                seq = np.concatenate(seqs)
-                a, b = contexts(seq)
-                owner = np.repeat(np.arange(len(group)), group)
-                s = np.bincount(owner, model.log10(a, b, seq), len(group))
-                known = seq <= HEAD
-                s -= np.bincount(owner, np.where(known, 0.0, size_log[seq]), len(group))
-                base = np.bincount(owner[known], head_log[seq[known]], len(group))
-                hit = np.bincount(owner[known], head_counts[seq[known]] > 0, len(group)).astype(np.int64)
+                ids, owner = np.concatenate(parts), np.repeat(np.arange(len(sizes)), sizes)
+                symbol, count_ = (np.array(x, np.int64)[ids] for x in (seen.symbol, seen.count))
+                a, b = contexts(symbol)
+                s = np.bincount(owner, model.log10(a, b, symbol), len(sizes))
+                here = count_ >= 0
+                log = np.where(here, np.log10(np.where(here, count_, 0) + 0.5), 0.0)
+                in_class = symbol > HEAD
+                s += np.bincount(owner, np.where(in_class, log - size_log[symbol], 0.0), len(sizes))
+                base = np.bincount(owner, log, len(sizes))
+                hit = np.bincount(owner, count_ > 0, len(sizes)).astype(np.int64)
+                far = np.flatnonzero(~here)
+                pairs, times = np.unique((owner[far] << 32) | ids[far], return_counts=True)
+                offsets = np.searchsorted(pairs, np.arange(len(sizes) + 1) << 32).astype(np.int32)
+                keys = np.array(seen.key, np.int64)[pairs & 0xFFFFFFFF] if len(pairs) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(group)), batch.column(2).slice(start, len(group)), pa.array(group, pa.int64()), pa.array(hit), pa.array(base), pa.array(s), pa.array([[*c] for c in rare], pa.list_(pa.int64())), pa.array([[*c.values()] for c in rare], pa.list_(pa.int64()))],
-                    ["doc_id", "held_out", "n_tokens", "n_head", "base", "model", "keys", "times"],
-                )
-                start += len(group)
+                    [
+                        batch.column(0).slice(start, len(sizes)), batch.column(2).slice(start, len(sizes)), pa.array(sizes, pa.int64()), pa.array(hit), pa.array(base), pa.array(s),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64))),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_hit", "base", "model", "keys", "times"],
+                )
+                start += len(sizes)
 
     rows = df.select("doc_id", text_of(df).cast("binary").alias("text"), held_out(df).alias("held_out"))
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, base double, model double, keys array<long>, times array<long>")
+    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_hit long, base double, model double, keys array<long>, times array<long>")
     scored = stash(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", "x.keys", "x.times")
-    found = rare.join(tail.select(F.col("key").alias("keys"), "n"), "keys").groupBy("row").agg(
+    found = rare.join(tail.groupBy("key").agg(F.sum("n").alias("n")).select(F.col("key").alias("keys"), "n"), "keys").groupBy("row").agg(
         F.sum(F.log10(F.col("n") + 0.5) * F.col("times")).alias("log"), F.sum("times").alias("found")
     )
-    # what a document has outside the head and the table was never seen in training
-    out = scored.select("row", "doc_id", "held_out", "n_tokens", "n_head", "base", "model", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("rare")).join(found, "row", "left")
+    # what a document has outside the known words and the table was never seen in training
+    out = scored.select("row", "doc_id", "held_out", "n_tokens", "n_hit", "base", "model", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("rare")).join(found, "row", "left")
     got, logs = F.coalesce("found", F.lit(0)), F.coalesce("log", F.lit(0.0))
     tail_log = logs + (F.col("rare") - got) * math.log10(0.5)
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + got).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + tail_log - F.col("rare") * F.lit(spare)).alias("base_score"), (F.col("model") + tail_log).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_hit") + got).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") + tail_log - F.col("n_tokens") * F.lit(spare)).alias("base_score"), (F.col("model") + tail_log).alias("score"),
     )
