@@ -50,7 +50,7 @@ def edge_counts(graph: Graph) -> DataFrame:
     owner = graph.symbols.select("symbol_id", "file_id").join(graph.files.select("file_id", "repo_id"), "file_id")
     s = owner.select(F.col("symbol_id").alias("source_id"), "repo_id", F.col("file_id").alias("source_file"))
     t = graph.symbols.select(F.col("symbol_id").alias("target_id"), F.col("file_id").alias("target_file"))
-    joined = graph.edges.join(s, "source_id").join(t, "target_id", "left")
+    joined = graph.edges.select("source_id", "target_id", "edge_type").join(s, "source_id").join(t, "target_id", "left")
     return joined.groupBy("repo_id", "edge_type").agg(
         F.count("*").alias("edges"), F.count_if(F.col("target_id").isNull()).alias("dangling"), F.count_if(F.col("source_file") != F.col("target_file")).alias("cross_file")
     )
