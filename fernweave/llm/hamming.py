@@ -3,7 +3,7 @@
 A 64-bit code is cut into SEGMENTS parts of 16 bits, each with an index of its own. The search radius of the segments grows
 from 0: at radius r all values of a segment that differ from the query's in r bits are looked up, and the codes found are
 verified by their whole distance. All codes within SEGMENTS * (r + 1) - 1 are then known, so a query is done when its k-th
-verified distance is no larger. A code is emitted only at the smallest (segment distance, segment) that it has, hence once.
+verified distance is no larger, and before that it grows only the segments that its k-th distance asks for. A code is emitted only at the smallest (segment distance, segment) that it has, hence once.
 
 Equal codes are one entry with its k smallest ids, which is all that a top-k with ties by id can need. Rows whose vector or id
 is null have no code and are neither found nor asked for; null, NaN and missing components count as bit 0. Repeated rows (an
@@ -12,6 +12,8 @@ equal id and code) are one. An empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,28 +43,30 @@ def top_k(queries: DataFrame, codes: DataFrame, k: int = 10) -> DataFrame:
     entries = stash(known.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     index = stash(entries.select("code", "ids", F.explode(segments(F.col("code"))).alias("s")).select("code", "ids", "s.seg", "s.value"))
     asked = stash(queries.where("qid IS NOT NULL AND code IS NOT NULL").select("qid", F.col("code").alias("q")).distinct())
-    found, active = None, asked
+    found, active = None, asked.withColumns({"top": F.lit(SEGMENTS - 1), "most": F.lit(64)})
     nearest = Window.partitionBy("qid").orderBy("distance", "id")
     for r in range(BITS + 1):
-        masks = F.filter(F.sequence(F.lit(0), F.lit((1 << BITS) - 1)), lambda m: F.bit_count(m) == r)
-        probes = active.select("qid", "q", F.explode(segments(F.col("q"))).alias("s")).select("qid", "q", "s.seg", "s.value", F.explode(masks).alias("mask"))
-        probes = probes.select("qid", "q", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        masks = F.from_json(F.lit(json.dumps([m for m in range(1 << BITS) if m.bit_count() == r])), "array<int>")
+        # a query that has k codes needs only the segments in which a code at its k-th distance can come up first
+        probes = active.repartition("qid").select("qid", "q", "top", "most", F.explode(segments(F.col("q"))).alias("s")).where("s.seg <= top")
+        probes = probes.select("qid", "q", "most", "s.seg", "s.value", F.explode(masks).alias("mask"))
+        probes = probes.select("qid", "q", "most", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         apart = F.col("q").bitwiseXOR(F.col("code"))
-        first = F.lit(True)
+        first = F.bit_count(apart) <= F.col("most")  # beyond the k-th verified distance a code cannot count
         for s in range(SEGMENTS):
             d = F.bit_count(segment(apart, s))
             first = first & F.when(F.lit(s) < F.col("seg"), d > r).when(F.lit(s) > F.col("seg"), d >= r).otherwise(F.lit(True))
-        hits = probes.join(index, ["seg", "value"]).where(first).select("qid", "ids", F.bit_count(apart).alias("distance"))
+        hits = probes.hint("merge").join(index, ["seg", "value"]).where(first).select("qid", "ids", F.bit_count(apart).alias("distance"))
         hits = hits.select("qid", F.explode("ids").alias("id"), "distance")
         every = hits if found is None else hits.union(found)
         best = stash(every.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("qid", "id", "distance"))
         if found is not None:
             unstash(found)
         found = best
-        done = found.groupBy("qid").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where((F.col("n") == k) & (F.col("kth") <= SEGMENTS * (r + 1) - 1)).select("qid")
-        left = stash(asked.join(done, "qid", "left_anti"))
-        if active is not asked:
-            unstash(active)
+        reached = found.groupBy("qid").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
+        top = F.when(F.col("n") == k, F.least(F.col("kth") - SEGMENTS * (r + 1), F.lit(SEGMENTS - 1))).otherwise(SEGMENTS - 1)
+        left = stash(asked.join(reached, "qid", "left").select("qid", "q", top.alias("top"), F.when(F.col("n") == k, F.col("kth")).otherwise(64).alias("most")).where("top >= 0"))
+        unstash(active)
         active = left
         if active.isEmpty():
             break
