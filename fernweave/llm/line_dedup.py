@@ -12,7 +12,8 @@ pairs within a group. The pair's edit distance is verified on the words. Keys ar
 running sums, so the variants of a line cost its length and not its square.
 
 Null texts stay null and have no lines. Repeated rows (the same doc_id and text) share one place, and each of them keeps what
-the first would. An empty table gives an empty table. All columns of the input are returned, whatever their names.
+the first would. An empty table gives an empty table. All columns of the input are returned, whatever
+their names; only __dropped_lines is ours.
 """
 
 from __future__ import annotations
@@ -20,21 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import stash, unstash
+from fernweave.llm.common import small_enough, stash, unstash
 
 MIN_WORDS = 10
-BLANK = r"[\t-\r ]+"
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, BLANK), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
-def first_lines(rows: DataFrame) -> DataFrame:
-    """Distinct lines: h, g (two hashes), n words, keys (hashes of halves), first (the earliest place), places (how many)."""
-    lines = rows.select("__doc", "__hash", F.posexplode(F.split("__text", "\n")).alias("__line", "s"))
-    lines = lines.where(F.col("s").rlike(r"[^\t-\r ]")).withColumn("w", words(F.col("s")))
-    norm = F.when(F.col("s").rlike(r"^[\t-\r ]|[\t-\r ]{2}|[\t-\r]|[\t-\r ]$"), F.array_join("w", " ")).otherwise(F.col("s"))
+def places(rows: DataFrame) -> DataFrame:
+    """Every line with words: __doc, __hash, l (its number), h and g (hashes of its words), n words, keys (hashes of halves)."""
+    lines = rows.select("__doc", "__hash", F.posexplode(F.split("__text", "\n")).alias("l", "s"))
+    lines = lines.select("__doc", "__hash", "l", words(F.col("s")).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
 
     def half(c: Column, size: Column, last: bool) -> Column:
@@ -44,21 +43,25 @@ def first_lines(rows: DataFrame) -> DataFrame:
 
     same, more = ((n - 1) / 2).cast("int"), (n / 2).cast("int")
     keys = F.array(half(n, same, False), half(n, same, True), half(n + 1, more, False), half(n + 1, more, True))
-    lines = lines.select(
-        "__doc", "__hash", "__line",
-        F.xxhash64(norm).alias("h"), F.xxhash64(F.lit("line"), norm).alias("g"), n.alias("n"),
-        F.when(n >= MIN_WORDS, keys).alias("keys"),
-    )
-    place = F.struct(F.col("__doc").alias("d"), F.col("__hash").alias("t"), F.col("__line").alias("l"))
-    return lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("places"), F.first("n").alias("n"), F.first("keys", True).alias("keys"))
+    return lines.select("__doc", "__hash", "l", F.xxhash64("w").alias("h"), F.xxhash64(F.lit("line"), "w").alias("g"), F.when(n >= MIN_WORDS, keys).alias("keys"))
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """Distinct lines: h, g, first (the earliest place), count, keys."""
+    place = F.struct(F.col("__doc").alias("d"), F.col("__hash").alias("t"), F.col("l"))
+    key = [F.min(F.get("keys", F.lit(i))).alias(f"k{i}") for i in range(4)]  # the same for all places of a line
+    return lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("places"), *key)
 
 
 def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """h, g of the distinct lines that have an earlier line within one edit."""
-    keyed = lines.where("keys IS NOT NULL").select("h", "g", "first", F.explode(F.array_distinct("keys")).alias("key"))
+    keyed = lines.where("k0 IS NOT NULL").select("h", "g", "first", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     some = stash(keyed.join(shared, "key", "left_semi").select("h", "g", "first").distinct())
     at = some.groupBy(F.col("first.d").alias("__doc"), F.col("first.t").alias("__hash")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "h", "g")).alias("at"))
+    at = stash(at)
+    docs = small_enough(at.select("__doc", "__hash"))
+    rows = rows.join(docs, rows["__doc"].eqNullSafe(docs["__doc"]) & (rows["__hash"] == docs["__hash"]), "left_semi")
     found = rows.join(at, rows["__doc"].eqNullSafe(at["__doc"]) & (rows["__hash"] == at["__hash"])).select(rows["__doc"], rows["__hash"], F.split("__text", "\n").alias("s"), "at")
     found = found.select("__doc", "__hash", "s", F.explode("at").alias("a")).select(
         "a.h", "a.g", F.struct(F.col("__doc").alias("d"), F.col("__hash").alias("t"), F.col("a.l").alias("l")).alias("first"), words(F.element_at("s", F.col("a.l") + 1)).alias("w")
@@ -87,27 +90,31 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     s = F.aggregate(F.sequence(F.lit(1), F.least(n, m)), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.get("x", n - i) == F.get("y", m - i)), i).otherwise(k))
     near = pairs.join(a, ["h", "g"]).join(b, "low").where((F.abs(n - m) <= 1) & (p + s >= F.greatest(n, m) - 1))
     out = stash(near.select("h", "g").distinct())
-    unstash(some, found)
+    unstash(some, found, at)
     return out
 
 
 def dedup_lines(df: DataFrame) -> DataFrame:
     """The input with repeated and nearly repeated lines taken out of text, and how many in __dropped_lines."""
     rows = df.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"), F.col("text").alias("__text"))
-    lines = stash(first_lines(rows))
+    spots = stash(places(rows))
+    lines = stash(first_lines(spots))
     near = near_lines(rows, lines)
     # of a line that stands in one place and has no near line nothing is dropped
     gone = lines.select("h", "g", "first", "places").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("places > 1 OR near")
-    spots = rows.select("__doc", "__hash", F.posexplode(F.split("__text", "\n")).alias("l", "s")).where(F.col("s").rlike(r"[^\t-\r ]"))
-    norm = F.when(F.col("s").rlike(r"^[\t-\r ]|[\t-\r ]{2}|[\t-\r]|[\t-\r ]$"), F.array_join(words(F.col("s")), " ")).otherwise(F.col("s"))
-    spots = spots.select("__doc", "__hash", "l", F.xxhash64(norm).alias("h"), F.xxhash64(F.lit("line"), norm).alias("g"))
     place = F.struct(F.col("__doc").alias("d"), F.col("__hash").alias("t"), F.col("l"))
-    dropped = spots.join(gone, ["h", "g"]).where(F.coalesce(F.col("near"), F.lit(False)) | (place > F.col("first")))
-    lists = dropped.groupBy("__doc", "__hash").agg(F.sort_array(F.collect_set("l")).alias("__gone")).withColumnsRenamed({"__doc": "__d", "__hash": "__h"})
-    wide = df.withColumns({"__doc": F.col("doc_id"), "__hash": F.xxhash64("text")})
-    joined = wide.join(lists, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")), "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    joined = joined.withColumns({"__lines": lines, "__stay": stay})
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n"))
-    return joined.withColumn("text", text).select(*df.columns, F.coalesce(F.size("__gone"), F.lit(0)).alias("__dropped_lines"))
+    dropped = spots.select("__doc", "__hash", "l", "h", "g").join(gone, ["h", "g"]).where(F.coalesce(F.col("near"), F.lit(False)) | (place > F.col("first")))
+    lists = stash(dropped.groupBy("__doc", "__hash").agg(F.sort_array(F.collect_set("l")).alias("__gone")).withColumnsRenamed({"__doc": "__d", "__hash": "__h"}))
+    unstash(spots, lines)
+    # the input's row is one column, so no name of it meets one of ours
+    wide = df.select(F.struct(*df.columns).alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"))
+    this = F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h"))
+    docs = small_enough(lists.select("__d", "__h"))
+    names = [c for c in df.columns if c != "__dropped_lines"]
+    # only documents that lose lines are brought to their lists
+    whole = wide.join(docs, this, "left_anti").select(*(F.col("__row")[c].alias(c) for c in names), F.lit(0).alias("__dropped_lines"))
+    cut = wide.join(docs, this, "left_semi").join(lists, this)
+    cut = cut.withColumn("__lines", F.split(F.col("__row")["text"], "\n"))
+    cut = cut.withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"))
+    text = F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n")
+    return whole.unionByName(cut.select(*(text.alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names), F.size("__gone").alias("__dropped_lines")))
