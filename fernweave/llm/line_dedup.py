@@ -79,7 +79,7 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
         F.struct(F.col("cut").alias("key"), (F.col("n") - 1).alias("m")),
         F.when(F.col("i") == F.col("n") - 1, F.struct(F.col("full").alias("key"), F.col("n").alias("m"))),
     ))).alias("k")).select("h", "g", "first", "k.key", "k.m")
-    keys = keys.distinct()
+    keys = stash(keys.distinct())  # read twice
     low = keys.groupBy("key", "m").agg(F.min("first").alias("low"), F.count("*").alias("c")).where("c > 1").select("key", "m", "low")
     pairs = keys.join(low, ["key", "m"]).where(F.col("low") < F.col("first")).select("h", "g", "low").distinct()
     a = found.select("h", "g", F.col("w").alias("x"))
@@ -90,7 +90,7 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     s = F.aggregate(F.sequence(F.lit(1), F.least(n, m)), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.get("x", n - i) == F.get("y", m - i)), i).otherwise(k))
     near = pairs.join(a, ["h", "g"]).join(b, "low").where((F.abs(n - m) <= 1) & (p + s >= F.greatest(n, m) - 1))
     out = stash(near.select("h", "g").distinct())
-    unstash(some, found, at)
+    unstash(some, found, at, keys)
     return out
 
 
