@@ -7,9 +7,11 @@ Lines are compared as their words (parts between white space); lines without wor
 Equal lines are brought together by hash first, so a line that a third of all rows have is one row from there on. A line that
 has a partner within one edit shares its first or its last half with it, for a length they agree on; only lines that share
 such a half with another line go on. Of these all variants with one word deleted, and the line itself, are emitted as hashed
-keys; lines with an equal key are within the bound, so each is held against the earliest line of the key alone, which needs no
-pairs within a group. The pair's edit distance is verified on the words. Keys are sums of hashes of (word, place), taken by
-running sums, so the variants of a line cost its length and not its square.
+keys. Variants with an equal key come of lines within the bound if the same place was deleted in both (a word replaced) or in
+one of them nothing was (a word put in); with different places deleted they may be two edits apart. So a variant is held
+against the earliest of its key and place and against the earliest whole line of its key, and a whole line against the earliest
+of its key, which needs no pairs within a group. The pair's edit distance is verified on the words. Keys are sums of hashes of
+(word, place), taken by running sums, so the variants of a line cost its length and not its square.
 
 Null texts stay null and have no lines. Repeated rows (the same doc_id and text) share one place, and each of them keeps what
 the first would. An empty table gives an empty table. All columns of the input are returned, whatever
@@ -76,12 +78,16 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     each = each.select("h", "g", "first", "n", "i", here.alias("a"), moved.alias("b"))
     summed = each.select("h", "g", "first", "n", "i", "a", (before + whole_sum - upto).alias("cut"), (before + F.col("a")).alias("full"))
     keys = summed.select("h", "g", "first", F.explode(F.array_compact(F.array(
-        F.struct(F.col("cut").alias("key"), (F.col("n") - 1).alias("m")),
-        F.when(F.col("i") == F.col("n") - 1, F.struct(F.col("full").alias("key"), F.col("n").alias("m"))),
-    ))).alias("k")).select("h", "g", "first", "k.key", "k.m")
-    keys = stash(keys.distinct())  # read twice
-    low = keys.groupBy("key", "m").agg(F.min("first").alias("low"), F.count("*").alias("c")).where("c > 1").select("key", "m", "low")
-    pairs = keys.join(low, ["key", "m"]).where(F.col("low") < F.col("first")).select("h", "g", "low").distinct()
+        F.struct(F.col("cut").alias("key"), (F.col("n") - 1).alias("m"), F.col("i")),
+        F.when(F.col("i") == F.col("n") - 1, F.struct(F.col("full").alias("key"), F.col("n").alias("m"), F.lit(-1).alias("i"))),
+    ))).alias("k")).select("h", "g", "first", "k.key", "k.m", "k.i")
+    keys = stash(keys)  # read twice; i is the place deleted, -1 for the whole line
+    low = keys.groupBy("key", "m").agg(F.min("first").alias("low"), F.min(F.when(F.col("i") < 0, F.col("first"))).alias("whole"), F.count("*").alias("c")).where("c > 1").drop("c")
+    shares = stash(keys.join(low, ["key", "m"]))
+    alike = shares.where("i >= 0").groupBy("key", "m", "i").agg(F.min("first").alias("alike"), F.count("*").alias("c")).where("c > 1").drop("c")
+    held = shares.select("h", "g", "first", F.when(F.col("i") < 0, F.col("low")).otherwise(F.col("whole")).alias("low"))
+    held = held.union(shares.join(alike, ["key", "m", "i"]).select("h", "g", "first", "alike"))
+    pairs = held.where(F.col("low") < F.col("first")).select("h", "g", "low").distinct()
     a = found.select("h", "g", F.col("w").alias("x"))
     b = found.select(F.col("first").alias("low"), F.col("w").alias("y"))
     n, m = F.size("x"), F.size("y")
@@ -90,7 +96,7 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     s = F.aggregate(F.sequence(F.lit(1), F.least(n, m)), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.get("x", n - i) == F.get("y", m - i)), i).otherwise(k))
     near = pairs.join(a, ["h", "g"]).join(b, "low").where((F.abs(n - m) <= 1) & (p + s >= F.greatest(n, m) - 1))
     out = stash(near.select("h", "g").distinct())
-    unstash(some, found, at, keys)
+    unstash(some, found, at, keys, shares)
     return out
 
 

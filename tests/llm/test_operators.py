@@ -206,6 +206,22 @@ def test_one_edit_of_a_word(spark):
     assert gone == {"put in", "taken out", "first", "last"}
 
 
+def test_words_put_in_at_different_places(spark):
+    """Lines of one deletion key that are two edits apart from the earliest: each has its own earlier partner."""
+    base = [f"w{i}" for i in range(12)]
+    put = lambda k, x: " ".join(base[:k] + [x] + base[k:])
+    cases = [
+        [put(3, "x"), " ".join(base), put(9, "y"), put(9, "z")],  # the whole line after one variant, before two
+        [put(3, "x"), put(9, "y"), put(9, "z"), put(6, "u"), put(6, "v")],  # no whole line
+        [put(3, "x"), put(9, "y"), " ".join(base)],
+    ]
+    rows = [(100 * c + i, " ".join(f"{x}c{c}" for x in t.split())) for c, lines in enumerate(cases) for i, t in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == lines_by_force(rows)
+    assert {i for i, t in got.items() if t == ""} == {1, 2, 3, 102, 104, 202}
+
+
 # near duplicates
 
 
