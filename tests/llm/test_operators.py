@@ -264,6 +264,59 @@ def test_minhash_group_of_near_copies(spark):
     assert all(out[i].kept for i in range(150, 250))
 
 
+def edits_by_force(x, y):
+    """Edit distance of the texts' five-word shingles, without the operator's own functions."""
+    a, b = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (x.split(), y.split()))
+    p = list(range(len(b) + 1))
+    for i, s in enumerate(a, 1):
+        c = [i]
+        for j, t in enumerate(b, 1):
+            c.append(min(p[j] + 1, c[-1] + 1, p[j - 1] + (s != t)))
+        p = c
+    return p[-1], max(len(a), len(b))
+
+
+def test_minhash_links_every_near_pair_of_a_bucket(spark):
+    """Short pairs at the very bound, which may have few equal sketches."""
+    texts = []
+    for i in range(600):
+        w = [f"p{i}w{k}" for k in range(9)]
+        texts += [" ".join(w), " ".join([*w[:8], "z"])]
+    assert edits_by_force(*texts[:2]) == (1, 5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {x.node: x["keys"] for x in minhash.sketched(df).collect()}
+    out = {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()}
+    met = [i for i in range(0, len(texts), 2) if any(a == b for a, b in zip(keys[i], keys[i + 1]))]
+    assert len(met) > 500 and all(out[i] == out[i + 1] for i in met)
+
+
+def test_last_round_links_what_alignment_links():
+    """A bucket of one block and of two, against brute force over all its pairs."""
+    r = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(40)]
+    texts = []
+    for i in range(40):
+        w = base.copy()
+        for k in r.choice(40, int(r.integers(0, 3)), replace=False):
+            w[k] = f"e{i}x{k}"
+        texts.append(" ".join(w))
+    n = len(texts)
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) for d, m in [edits_by_force(texts[i], texts[j])] if d <= int(0.2 * m + 1e-9)}
+    part = np.arange(n) % 2
+    keys = np.zeros((n, minhash.BANDS), np.int64)
+    keys[:, :3] = np.arange(n)[:, None]
+    table = {"g": np.arange(n), "m": part, "n": np.array([len(t.split()) - 4 for t in texts]), "keys": keys}
+    got = [p for i, j in ((0, 0), (0, 1), (1, 1)) for p in minhash.joined(np.full(n, 3), i, j, table, [t.encode() for t in texts], {})]
+
+    def groups(pairs):
+        g = list(range(n))
+        for i, j in pairs:
+            g = [min(g[i], g[j]) if x in (g[i], g[j]) else x for x in g]
+        return g
+
+    assert near and len(set(groups(near))) > 1 and groups(got) == groups(near) and {(min(p), max(p)) for p in got} <= near
+
+
 def test_banded_alignment():
     r = np.random.default_rng(5)
 
