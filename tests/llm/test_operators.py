@@ -290,6 +290,19 @@ def test_minhash_links_every_near_pair_of_a_bucket(spark):
     assert len(met) > 500 and all(out[i] == out[i + 1] for i in met)
 
 
+def test_minhash_aligns_shingles_without_labels(spark):
+    """A line that stands between other text, left out once at the front of the copy."""
+    line = [f"l{k}" for k in range(12)]
+    own = [[f"o{i}x{k}" for k in range(8)] for i in range(30)]
+    whole = " ".join(x for o in own for x in o + line)
+    copy = " ".join(x for i, o in enumerate(own) for x in (o + line if i else o))
+    d, n = edits_by_force(whole, copy)
+    assert 1 - d / n > 0.95
+    other = " ".join(f"q{k}" for k in range(300))
+    out = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame([(0, whole), (1, copy), (2, other)], "doc_id long, text string")).collect()}
+    assert out == {0: 0, 1: 0, 2: 2}
+
+
 def test_last_round_links_what_alignment_links():
     """A bucket of one block and of two, against brute force over all its pairs."""
     r = np.random.default_rng(3)
