@@ -5,12 +5,12 @@ outside articles, every text at its path) has an occurrence vector: how often it
 form an equivalence class; a class is valid if it has CLASS tokens or more and stands in SUPPORT of the host's pages or more.
 Vectors are compared by a hash that is a sum over pages, so a class is found by counting, with partial sums first, and a host
 that has a third of all pages is no hot key. Valid classes nest by their paths into the host's template; what lies between
-template tokens are slots. Slots in the article are the main text; slots and template texts under menus, headers, footers,
+template tokens are slots. Equal pages of a host count once, and a template needs two different pages. Slots in the article are the main text; slots and template texts under menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are not. Where a page has no article, the slots outside those
 are taken, less the texts that belong to the template.
 
 Null and empty html gives an empty text. A url without a host, or null, is a host of its own name. Repeated rows give equal
-results and count as pages. An empty table gives an empty result; extra columns are left alone. Pages are read whole;
+results. An empty table gives an empty result; extra columns are left alone. Pages are read whole;
 unclosed elements end with what encloses them.
 """
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import stash, text_of
+from fernweave.llm.common import small_enough, stash, text_of
 
 CLASS, SUPPORT = 2, 0.5
 
@@ -136,6 +136,13 @@ def occurrences(df: DataFrame) -> DataFrame:
         yield out()
 
     rows = df.select(host_of(F.col("url")).alias("host"), text_of(df, "html").alias("html"))
+    rows = rows.withColumns({"c": F.xxhash64("html"), "e": F.xxhash64(F.lit("page"), "html")})
+    key = ["host", "c", "e"]
+    copied = stash(rows.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1").select(key))
+    copied = small_enough(copied)
+    # only pages that stand more than once are shuffled
+    once = rows.join(copied, key, "left_anti").select("host", "html")
+    rows = once.union(rows.join(copied, key, "left_semi").groupBy(key).agg(F.first("html").alias("html")).select("host", "html"))
     return rows.mapInArrow(run, "host string, token string, pages long, vector long").groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"))
 
 
@@ -151,32 +158,31 @@ def templates(df: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, texts: set[str], tags: set[str]) -> str:
-    """The page's main slots: of the article, or without one all that is not apart and not the template's own text."""
-    slots: list[tuple[int, bool, list[str]]] = []
+    """The page's main slots: of the article, or without one all that is not apart, less the text nodes that are the template's."""
+    slots: list[tuple[int, str]] = []
     held: list[str] = []
-    where, own = 0, False
+    where = 0
 
     def close() -> None:
         if held:
             if text := " ".join(entities.unescape("".join(held)).split()):
-                slots.append((where, own, [text]))
+                slots.append((where, text))
             held.clear()
 
     for kind, path, value, state in parse(page):
         if kind == "gap" or state != where:
             close()
-            where, own = state, False
+            where = state
         if kind == "text":
             if not held:
                 where = state
-                own = state != 2 and bool(texts) and f"{path}#{xxhash.xxh64_hexdigest(' '.join(value.split()))}" in texts
-            held.append(value)
+            own = state != 2 and bool(texts) and f"{path}#{xxhash.xxh64_hexdigest(' '.join(value.split()))}" in texts
+            held.append(" " if own else value)
         elif kind == "tag" and state != 2 and path in tags and path.rsplit("/", 1)[-1].split(".")[0] not in INLINE:
             close()
     close()
-    if any(s == 2 for s, _, _ in slots):
-        return " ".join(t for s, _, ts in slots if s == 2 for t in ts)
-    return " ".join(t for s, own, ts in slots if s == 0 and not own for t in ts)
+    main = 2 if any(s == 2 for s, _ in slots) else 0
+    return " ".join(t for s, t in slots if s == main)
 
 
 def extract(df: DataFrame) -> DataFrame:

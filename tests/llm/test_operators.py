@@ -438,6 +438,15 @@ def test_html_without_article(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_of_different_pages_only(spark):
+    """Copies of a page are no template, and a template's label does not take its block with it."""
+    page = lambda body: f"<html><body><div><i>Site</i></div><p><b>Note:</b> {body}</p></body></html>"
+    rows = [(i, "https://a.org/same", page("alone on its host")) for i in range(2)]
+    rows += [(10 + i, f"https://b.org/{i}", page("copied")) for i in range(3)] + [(20 + i, f"https://b.org/x{i}", page(f"unique words {i}")) for i in range(2)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "Site Note: alone on its host", 1: "Site Note: alone on its host", 10: "copied", 11: "copied", 12: "copied", 20: "unique words 0", 21: "unique words 1"}
+
+
 # licences
 
 
