@@ -9,7 +9,8 @@ Equal vectors become one row first. A bucket is dealt out in blocks of at most B
 at most, whatever the bucket's size. A pair is counted only in the smallest bucket that both are in, so sums over blocks are
 right without gathering pairs; what leaves a block for the components is a forest of its links, not the links.
 
-Vectors that are null, zero or hold null or non-finite components, or are of another size than most, link with nothing.
+Vectors that are null, zero or hold null or non-finite components link with nothing. Vectors of different sizes do not link;
+the size is part of a bucket's key, so those of each size are hashed and compared among themselves.
 Repeated rows (an equal vec_id and vector) count each as a vector. Rows without vec_id link with nothing. An empty table gives
 an empty result; extra columns are left alone.
 """
@@ -132,17 +133,19 @@ def near_vectors(df: DataFrame) -> DataFrame:
     rows = df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     # a vector that can link; the key is the vector itself
     fine = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
-    usual = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    size = usual[0]["size"] if usual else 0
-    rows = rows.withColumn("fine", F.coalesce(fine & (F.size("v") == size), F.lit(False)))
+    rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     keyed = rows.where("fine").select("id", "v", F.xxhash64("v").alias("h"))
     classes = stash(keyed.groupBy("h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, _ = unit(batch.column(2).to_pylist())
-            keys = np.sort(buckets(x), axis=1) if len(x) else np.zeros((0, TABLES * PROBES), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["rep", "copies", "x", "keys"])
+            values = batch.column(2).to_pylist()
+            lengths = np.array([len(v) for v in values], np.int64)
+            for size in np.unique(lengths):
+                at = np.flatnonzero(lengths == size)
+                x, _ = unit([values[i] for i in at])
+                keys = (np.int64(size) << 43) + np.sort(buckets(x), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["rep", "copies", "x", "keys"])
 
     hashes = stash(classes.select("rep", "copies", "v").mapInArrow(hashed, "rep long, copies long, x binary, keys array<long>"))
     sizes = hashes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -152,7 +155,7 @@ def near_vectors(df: DataFrame) -> DataFrame:
     # block pairs (i, j), i <= j, that a vector of block m is needed for: (m, j) and (i, m)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("m")).alias("i"), F.greatest(o, F.col("m")).alias("j")))
     dealt = spread.withColumn("m", mine).select("rep", "key", "blocks", "m", F.explode(pairs).alias("p")).select("rep", "key", "blocks", "m", "p.i", "p.j")
-    few = F.when(F.col("blocks") == 1, F.floor(F.col("key") / TOGETHER) * -1 - 1).otherwise(F.col("key"))
+    few = F.when(F.col("blocks") == 1, F.expr(f"-1 - key div {TOGETHER}")).otherwise(F.col("key"))
     dealt = dealt.join(hashes, "rep").select(few.alias("g"), "key", "i", "j", "m", "rep", "copies", "x", "keys")
 
     def block(table: pa.Table) -> pa.Table:

@@ -513,3 +513,16 @@ def test_embeddings(spark):
     by = {r.vec_id: r for r in out}
     assert all(by[i].kept and by[i].n_links == 0 for i in (900, 901, 902, 903, 904)) and by[360].component_id == 0
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_two_sizes(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for size, n in ((64, 40), (16, 30), (3, 1)):
+        base = r.normal(size=(n, size))
+        for v in np.concatenate([base, base, base[:10] + 0.01 * r.normal(size=(n, size))[:10]]):
+            rows.append((len(rows), v.tolist()))
+    u = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    want = [sum(a != b and len(u[a]) == len(u[b]) and u[a] @ u[b] >= 0.95 for b in range(len(u))) for a in range(len(u))]
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert min(want) >= 1 and [got[i] for i in range(len(rows))] == want
