@@ -4,7 +4,7 @@ A page is a sequence of tags, each with its path of open elements, and of texts.
 outside articles, every text at its path) has an occurrence vector: how often it stands in each page. Tokens with equal vectors
 form an equivalence class; a class is valid if it has CLASS tokens or more and stands in SUPPORT of the host's pages or more.
 Vectors are compared by a hash that is a sum over pages, so a class is found by counting, with partial sums first, and a host
-that has a third of all pages is no hot key. Valid classes nest by their paths into the host's template; what lies between
+that has a third of all pages is no hot key. The valid classes' texts and tag paths are the host's template, which is not nested; what lies between
 template tokens are slots. Equal pages of a host count once, and a template needs two different pages. Slots in the article are the main text; slots and template texts under menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are not. Where a page has no article, the slots outside those
 are taken, less the texts that belong to the template.
