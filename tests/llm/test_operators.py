@@ -303,31 +303,79 @@ def test_minhash_aligns_shingles_without_labels(spark):
     assert out == {0: 0, 1: 0, 2: 2}
 
 
-def test_last_round_links_what_alignment_links():
-    """A bucket of one block and of two, against brute force over all its pairs."""
-    r = np.random.default_rng(3)
-    base = [f"b{i}" for i in range(40)]
+def near_family(n, seed=3, edits=3):
+    r = np.random.default_rng(seed)
     texts = []
-    for i in range(40):
-        w = base.copy()
-        for k in r.choice(40, int(r.integers(0, 3)), replace=False):
+    for i in range(n):
+        w = [f"b{k}" for k in range(40)]
+        for k in r.choice(40, int(r.integers(0, edits)), replace=False):
             w[k] = f"e{i}x{k}"
         texts.append(" ".join(w))
-    n = len(texts)
-    near = {(i, j) for i in range(n) for j in range(i + 1, n) for d, m in [edits_by_force(texts[i], texts[j])] if d <= int(0.2 * m + 1e-9)}
-    part = np.arange(n) % 2
+    return texts, {(i, j) for i in range(n) for j in range(i + 1, n) for d, m in [edits_by_force(texts[i], texts[j])] if d <= int(0.2 * m + 1e-9)}
+
+
+def groups_of(n, pairs):
+    g = list(range(n))
+    for i, j in pairs:
+        g = [min(g[i], g[j]) if x in (g[i], g[j]) else x for x in g]
+    return g
+
+
+def test_last_round_links_what_alignment_links():
+    """A bucket in one call and in four, against brute force over all its pairs."""
+    n = 40
+    texts, near = near_family(n)
     keys = np.zeros((n, minhash.BANDS), np.int64)
     keys[:, :3] = np.arange(n)[:, None]
-    table = {"g": np.arange(n), "m": part, "n": np.array([len(t.split()) - 4 for t in texts]), "keys": keys}
-    got = [p for i, j in ((0, 0), (0, 1), (1, 1)) for p in minhash.joined(np.full(n, 3), i, j, table, [t.encode() for t in texts], {})]
-
-    def groups(pairs):
-        g = list(range(n))
-        for i, j in pairs:
-            g = [min(g[i], g[j]) if x in (g[i], g[j]) else x for x in g]
-        return g
+    ids = np.arange(n)
+    for blocks, probes in ((1, 1), (2, 2)):
+        got = []
+        for i in range(blocks):
+            for j in range(probes):
+                table = {"b": ids, "g": ids, "other": ids > 0, "target": ids % blocks == i, "probe": (ids > 0) & (ids // 3 % probes == j), "n": np.array([len(t.split()) - 4 for t in texts]), "keys": keys}
+                got += minhash.joined(3, 1, table, [t.encode() for t in texts])
+        assert near and len(set(groups_of(n, near))) > 1 and groups_of(n, got) == groups_of(n, near)
+        assert {(min(p), max(p)) for p in got} <= near
+
+
+@pytest.mark.parametrize("block", [20, 4])
+def test_minhash_parts_large_buckets(spark, monkeypatch, block):
+    """Buckets of more others than a block: parted by further bands, and what these do not part in pairs of blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", (block, 1 << 20))
+    texts, near = near_family(120, 5, 9)
+    out = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = groups_of(120, near)
+    assert len(set(want)) > 10 and max(want.count(x) for x in want) > 20
+    together = sum(out[i] == out[j] for i, j in near)
+    assert together >= 0.97 * len(near)
+    assert all(want[i] == want[out[i]] for i in range(120))  # no group that alignment does not give
+
+
+def test_minhash_recall_at_the_bound(spark):
+    """Isolated pairs with a fifth of their shingles replaced."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        w = [f"t{i}w{k}" for k in range(104)]
+        at = [10, 35, 60, 85]
+        copy = w.copy()
+        for k in at:
+            copy[k] = f"x{i}y{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+    assert edits_by_force(rows[0][1], rows[1][1]) == (20, 100)
+    out = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(out[2 * i] == out[2 * i + 1] for i in range(400))
+    assert found >= 0.98 * 400 and len({v for v in out.values()}) == 800 - found
+
+
+def test_minhash_one_doc_id_for_two_texts(spark):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(1, words("a")), (1, words("b")), (2, words("a")), (3, words("b") + " z"), (4, words("c")), (1, words("a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Counter((x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(df).collect())
+    assert out == Counter({(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 1, (4, 4, True): 1})
+    assert sorted((x.doc_id, x.text[0]) for x in minhash.dedup(df).collect()) == [(1, "a"), (1, "b"), (4, "c")]
 
-    assert near and len(set(groups(near))) > 1 and groups(got) == groups(near) and {(min(p), max(p)) for p in got} <= near
 
 
 def test_banded_alignment():
