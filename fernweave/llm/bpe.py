@@ -66,7 +66,9 @@ class Bpe(dict):
         self.rank = {k: r for k, (r, _) in self.merges.items()}
         self.made = {r: i for r, i in self.merges.values()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        kinds = {k: "".join(re.escape(chr(c)) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC, 0x307] if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        # words are lower case when they are cut: some capitals below U+0250 have their small letter above it
+        seen = sorted({x for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] for x in chr(c) + chr(c).lower()})
+        kinds = {k: "".join(re.escape(x) for x in seen if unicodedata.category(x)[0] == k) for k in "LN"}
         self.plain_words = re.compile(pattern.replace("\\p{L}", kinds["L"]).replace("\\p{N}", kinds["N"]).replace("\\s", SPACE)).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda x: [x]
         chars = byte_chars()

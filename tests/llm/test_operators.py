@@ -76,6 +76,15 @@ def test_bpe_like_the_library(docs, odd):
         assert b.decoded(want) == t.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_every_code_point():
+    t = Tokenizer.from_file(PATH)
+    t.no_truncation()
+    b = bpe.Bpe(PATH)
+    texts = [f"a{c}b {c} {c}b a{c}" for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+    odd = [x for x, ids, want in zip(texts, b.many(texts), t.encode_batch(texts, add_special_tokens=False)) if ids.tolist() != want.ids]
+    assert not odd
+
+
 def test_long_words_merge_in_the_same_order():
     b = bpe.Bpe(PATH)
     r = np.random.default_rng(1)
