@@ -496,12 +496,53 @@ def test_html_without_article(spark):
 
 
 def test_html_template_of_different_pages_only(spark):
-    """Copies of a page are no template, and a template's label does not take its block with it."""
+    """Copies of a page are no template, and what stands outside the main slot is none of it."""
     page = lambda body: f"<html><body><div><i>Site</i></div><p><b>Note:</b> {body}</p></body></html>"
     rows = [(i, "https://a.org/same", page("alone on its host")) for i in range(2)]
     rows += [(10 + i, f"https://b.org/{i}", page("copied")) for i in range(3)] + [(20 + i, f"https://b.org/x{i}", page(f"unique words {i}")) for i in range(2)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {0: "Site Note: alone on its host", 1: "Site Note: alone on its host", 10: "copied", 11: "copied", 12: "copied", 20: "unique words 0", 21: "unique words 1"}
+    assert got == {0: "Site Note: alone on its host", 1: "Site Note: alone on its host", 10: "Note: copied", 11: "Note: copied", 12: "Note: copied", 20: "Note: unique words 0", 21: "Note: unique words 1"}
+
+
+def texts_by_page(spark, rows):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_finds_the_slot_without_article(spark):
+    """The given pages with a nameless element in place of the article give the same texts."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = df.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div class='c7'>"), "</article>", "</div>"))
+    assert {r.page_id: r.text for r in html.extract(plain).collect()} == {r.page_id: r.text for r in html.extract(df).collect()}
+
+
+def test_html_the_template_decides(spark):
+    """Nothing here is named; the deduced template leaves out the sidebar and the notice that all articles have."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    page = lambda i: f"<html><body><div class=c1><p>About us {i}</p></div><div class=c7><p>Please log in to vote</p><h1>Title {i}</h1><p>{words(i)}</p><p class='share-price'>up {i}</p><p class='side-effects'>none {i}</p></div><div class=c8><i>More of this {i}</i></div></body></html>"
+    pages = [(i, f"https://a.org/{i}", page(i)) for i in range(8)]
+    pages.append((8, "https://a.org/8", page(8).replace("About us 8", "very long " * 3000)))
+    want = {i: f"Title {i} {words(i)} up {i} none {i}" for i in range(9)}
+    assert texts_by_page(spark, pages) == want  # one long page has no more weight than another
+    bare = html.main_text(page(3), None, set(), set())
+    assert bare != want[3] and "More of this 3" in bare and "Please log in" in bare
+    assert texts_by_page(spark, [(i, u, h.replace("c7", "sidebar")) for i, u, h in pages[:8]])[3] == "More of this 3"
+
+
+def test_html_near_copies_keep_their_text(spark):
+    page = lambda i: f"<html><body><nav>n {i}</nav><article><h1>One text</h1><p>the same words in all of them</p><p>more words</p></article></body></html>"
+    assert set(texts_by_page(spark, [(i, f"https://a.org/{i}", page(i)) for i in range(7)]).values()) == {"One text the same words in all of them more words"}
+
+
+def test_html_nests_valid_classes():
+    """An element outside the nested template is no slot, whatever its text."""
+    t = lambda x, parent, chars, vector=7, pages=10, once=10, kind=2, hint=0: {"token": x, "parent": parent, "chars": chars, "vector": vector, "pages": pages, "once": once, "kind": kind, "hint": hint}
+    tokens = [t(1, 0, 1000), t(2, 1, 990), t(3, 2, 900), t(4, 3, 890, vector=5, pages=9), t(5, 4, 880), t(6, 2, 0, kind=1), t(7, 3, 0, kind=1, vector=9, pages=6)]
+    assert html.deduce(tokens, 10) == (3, [6], [6])
+    tokens[2] = t(3, 2, 100)
+    assert html.deduce(tokens, 10)[0] == 2
+    tokens[2] = t(3, 2, 300, hint=1)
+    assert html.deduce(tokens, 10)[0] == 3
+    assert html.deduce([], 10) == (None, [], [])
 
 
 # licences
