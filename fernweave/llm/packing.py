@@ -24,6 +24,8 @@ from fernweave.llm.bpe import load
 from fernweave.llm.common import stash, text_of
 
 CAP = 2048
+#: Shares of the fitted pattern counts that are tried until the sequences are as few as can be; at 0 best fit packs all.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.0)
 
 
 def patterns(lengths: np.ndarray, cap: int, waste: int = 4) -> np.ndarray:
@@ -31,11 +33,11 @@ def patterns(lengths: np.ndarray, cap: int, waste: int = 4) -> np.ndarray:
     has = np.zeros(cap + 1, bool)
     has[lengths] = True
     below = np.maximum.accumulate(np.where(has, np.arange(cap + 1), 0))  # the largest length up to each
-    spread = lambda top, n: np.unique(below[np.linspace(1, max(1, top), n).astype(int)])
+    spread = lambda top, n: np.unique(below[np.linspace(1, top, n).astype(int)]) if top > 0 else np.zeros(0, int)
     found: list[tuple[int, ...]] = []
 
     def fill(held: tuple[int, ...], room: int) -> None:
-        last = int(below[min(room, held[-1])])
+        last = int(below[min(room, held[-1])]) if room > 0 else 0
         if last and room - last <= waste:
             found.append((*held, last))
 
@@ -50,7 +52,7 @@ def patterns(lengths: np.ndarray, cap: int, waste: int = 4) -> np.ndarray:
                 for c in spread(min(b, room - b), 5).tolist():
                     if c:
                         fill((a, b, c), room - b - c)
-                        if d := int(below[min(c, (room - b - c) // 2)]):
+                        if d := int(below[max(0, min(c, (room - b - c) // 2))]):
                             fill((a, b, c, d), room - b - c - d)
     if not found:
         return np.zeros((0, 5), np.int64)
@@ -82,6 +84,22 @@ def nnls(rows: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
+def by_patterns(left: np.ndarray, rows: np.ndarray, x: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences of the patterns, as often as fitted and as the lengths that are left allow; what rounding takes from one
+    pattern goes to the next."""
+    out: list[tuple[tuple[int, ...], int]] = []
+    carry = 0.0
+    for i in np.lexsort((-x, -rows.sum(1), -rows[:, 0])):
+        want = x[i] + carry
+        kinds, each = np.unique(rows[i][rows[i] > 0], return_counts=True)
+        n = int(min(np.floor(want + 1e-6), (left[kinds] // each).min()))
+        carry = min(want - n, 1.0)
+        if n > 0:
+            left[kinds] -= n * each
+            out.append((tuple(rows[i][rows[i] > 0].tolist()), n))
+    return out
+
+
 def plan(histogram: np.ndarray, cap: int = CAP) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that use up the histogram of lengths 0..cap."""
     left = histogram.astype(np.int64).copy()
@@ -91,18 +109,27 @@ def plan(histogram: np.ndarray, cap: int = CAP) -> list[tuple[tuple[int, ...], i
         left[cap] = 0
     lengths = np.flatnonzero(left)
     lengths = lengths[lengths > 0]
-    if len(lengths):
-        rows = patterns(lengths, cap)
-        if len(rows):
-            counts = np.floor(nnls(rows, left.astype(float)) + 1e-9).astype(np.int64)
-            for i in np.argsort(-rows.sum(1), kind="stable"):
-                if counts[i]:
-                    kinds, each = np.unique(rows[i][rows[i] > 0], return_counts=True)
-                    n = int(min(counts[i], (left[kinds] // each).min()))
-                    if n > 0:
-                        left[kinds] -= n * each
-                        out.append((tuple(rows[i][rows[i] > 0].tolist()), n))
-    # the rest: best fit decreasing, whole groups of equal bins at a time
+    rows = patterns(lengths, cap) if len(lengths) else np.zeros((0, 5), np.int64)
+    if not len(rows):
+        return out + best_fit(left, cap)
+    x = nnls(rows, left.astype(float))
+    least = -(-int((left * np.arange(cap + 1)).sum()) // cap)
+    # patterns that use up the short lengths can leave a rest that fits badly; then a smaller share of them is better
+    best: tuple[int, list] | None = None
+    for share in SHARES:
+        rest = left.copy()
+        made = by_patterns(rest, rows, x * share)
+        made += best_fit(rest, cap)
+        n = sum(many for _, many in made)
+        if best is None or n < best[0]:
+            best = n, made
+        if n == least:
+            break
+    return out + best[1]
+
+
+def best_fit(left: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit decreasing of what is left, whole groups of equal bins at a time."""
     bins: dict[int, dict[tuple[int, ...], int]] = {}
     for length in np.flatnonzero(left)[::-1].tolist():
         n = int(left[length])
@@ -126,7 +153,7 @@ def plan(histogram: np.ndarray, cap: int = CAP) -> list[tuple[tuple[int, ...], i
             n -= many * (len(put) if room is None else k)
             group = bins.setdefault(free, {})
             group[put] = group.get(put, 0) + many
-    return out + [(held, many) for group in bins.values() for held, many in group.items()]
+    return [(held, many) for group in bins.values() for held, many in group.items()]
 
 
 def places(plan_: list[tuple[tuple[int, ...], int]], cap: int = CAP) -> dict[int, tuple[np.ndarray, ...]]:

@@ -161,6 +161,21 @@ def test_plan_is_no_worse_than_best_fit_decreasing():
         assert n <= best + 2
 
 
+def test_patterns_carry_most_pieces():
+    """Of a thousand documents' lengths most go by patterns, and the sequences are as few as the ids allow, or one more."""
+    r = np.random.default_rng(4)
+    h = np.bincount(np.minimum(1 + r.lognormal(6, 1, 1000).astype(int), 2048), minlength=2049)
+    left = h.copy()
+    left[2048] = 0
+    lengths = np.flatnonzero(left)
+    rows = packing.patterns(lengths, 2048)
+    assert rows.sum(1).max() <= 2048
+    rest = left.copy()
+    made = packing.by_patterns(rest, rows, packing.nnls(rows, left.astype(float)))
+    assert sum(len(k) * n for k, n in made) >= 0.5 * left.sum() and (rest >= 0).all()
+    assert sum(n for _, n in packing.plan(h)) <= -(-int((h * np.arange(2049)).sum()) // 2048) + 1
+
+
 # line dedup
 
 
