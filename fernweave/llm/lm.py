@@ -4,9 +4,11 @@ Words are counted over all training documents. The HEAD most frequent of them an
 others share CLASSES classes by their last bytes, within which a word has its smoothed share. The model predicts the next
 symbol from the two before it: a context vector is the sum of two position-weighted vectors, its product with all symbols'
 vectors gives scores, and their exponentials are normalised over all symbols, in batches of distinct contexts. It is trained
-first on a bounded warm-up sample on the driver, then on all training documents: each partition goes on from the warm model by
-noise-contrastive estimation over its own documents, and the models are averaged by their tokens in a shuffle. Words outside
-the head are few; documents send theirs, by hash, to the table of all counts, so no vocabulary is broadcast.
+first on a bounded warm-up sample on the driver, then on all training documents: they are dealt by hash into shards of about
+SHARD tokens (at most SHARDS shards), each shard goes on from the warm model by noise-contrastive estimation over its documents
+in the order of their hashes, and the models are averaged by their tokens. So the model is the same however the table is
+partitioned. What is dealt are symbols, two bytes a token. Words outside the head are few; documents send theirs, by hash, to the
+table of all counts, so no vocabulary is broadcast.
 
 Null and empty texts have the end alone. Repeated rows get equal scores and each counts. An empty table gives an empty
 result; without training tokens all counts are 0 and the model is uniform. Rows without doc_id are training rows. Extra
@@ -18,6 +20,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ NOISE, BATCH = 48, 2048
 KNOWN = 400_000
 #: Where the sums of squared gradients start.
 INIT = 1.0
+#: Tokens of a shard of the training documents, as long as there are no more than so many shards.
+SHARD, SHARDS = 1_000_000, 4096
 #: Documents of the warm-up sample; of each at most 6000 characters are taken.
 WARM_DOCS = 1500
 END = b"\n"
@@ -165,14 +171,13 @@ def batches_of(sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np
             yield a[i : i + BATCH], b[i : i + BATCH], seq[i : i + BATCH]
 
 
-def symbols_of(texts: list[bytes], table: Symbols) -> Iterator[np.ndarray]:
-    """Texts as runs of symbols, some hundred thousand at a time."""
+def joined(sequences: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Texts' symbols in runs of some hundred thousand."""
     held: list[np.ndarray] = []
     n = 0
-    for t in texts:
-        words = tokens(t)
-        held.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
-        n += len(words)
+    for seq in sequences:
+        held.append(seq)
+        n += len(seq)
         if n > 200_000:
             yield np.concatenate(held)
             held, n = [], 0
@@ -180,6 +185,11 @@ def symbols_of(texts: list[bytes], table: Symbols) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def symbols_of(text: bytes, table: Symbols) -> np.ndarray:
+    words = tokens(text)
+    return np.fromiter(map(table.__getitem__, words), np.int32, len(words))
+
+
 def count(df: DataFrame) -> DataFrame:
     """Words of the training documents: key, word, n."""
 
@@ -201,7 +211,7 @@ def count(df: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, word binary, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame, head: dict[bytes, int], unigram: np.ndarray) -> Lbl:
+def fit(df: DataFrame, head: dict[bytes, int], unigram: np.ndarray, total: int) -> Lbl:
     """The warm model, trained further on all training documents and averaged."""
     train = df.where(~held_out(df))
     warm = Lbl(unigram)
@@ -213,15 +223,20 @@ def fit(df: DataFrame, head: dict[bytes, int], unigram: np.ndarray) -> Lbl:
     found = train.select(key.alias("h"), text_of(df).alias("text")).join(F.broadcast(few), "h").select("h", part.alias("text"))
     texts = [r["text"].encode() for r in found.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()]
     table = Symbols(head)
-    warm.train(symbols_of(texts, table), 0.1)
+    warm.train(joined(symbols_of(t, table) for t in texts), 0.1)
     shapes = [(k, v.shape) for k, v in warm.p.items()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Lbl(unigram)
-        model.p = {k: v.copy() for k, v in warm.p.items()}
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Symbols(head)
-        seen = model.train((s for batch in batches for s in symbols_of(batch.column(0).to_pylist(), own)), 0.05, seed=17)
-        if seen:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([symbols_of(t.as_py(), own).astype("<u2").tobytes() for t in batch.column(1)], pa.binary())], ["h", "symbols"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((shard, symbols.as_py()) for batch in batches for shard, symbols in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for shard, mine in groupby(rows, itemgetter(0)):
+            model = Lbl(unigram)
+            model.p = {k: v.copy() for k, v in warm.p.items()}
+            seen = model.train(joined(np.frombuffer(x, "<u2").astype(np.int32) for _, x in mine), 0.05, seed=17 + shard)
             flat = np.concatenate([model.p[k].ravel() for k, _ in shapes]).astype(np.float64)
             for i in range(0, len(flat), 256):
                 yield pa.RecordBatch.from_arrays([pa.array([i // 256], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat[i : i + 256]], pa.list_(pa.float64()))], ["block", "seen", "values"])
@@ -233,7 +248,10 @@ def fit(df: DataFrame, head: dict[bytes, int], unigram: np.ndarray) -> Lbl:
                 total, weight = total + np.array(values.as_py()) * seen, weight + seen
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total / weight], pa.list_(pa.float64()))], ["block", "values"])
 
-    models = train.select(text_of(df).cast("binary").alias("text")).mapInArrow(run, "block int, seen long, values array<double>")
+    shards = min(SHARDS, max(1, -(-total // SHARD)))
+    spelt = train.select(F.xxhash64("doc_id", text_of(df)).alias("h"), text_of(df).cast("binary").alias("text")).mapInArrow(spell, "h long, symbols binary")
+    dealt = spelt.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "symbols").repartition(shards, "shard").sortWithinPartitions("shard", "h", "symbols")
+    models = dealt.select("shard", "symbols").mapInArrow(run, "block int, seen long, values array<double>")
     rows = models.groupBy("block").applyInArrow(mean, "block int, values array<double>").collect()  # the model's size, whatever the input's
     if rows:
         flat = np.concatenate([r["values"] for r in sorted(rows, key=lambda r: r["block"])])
@@ -265,7 +283,7 @@ def score(df: DataFrame) -> DataFrame:
     unigram = class_n.copy()
     for w in head:
         unigram[head[w]] = known.get(w, 0)
-    model = fit(df, head, unigram)
+    model = fit(df, head, unigram, int(total))
     spare = math.log10(total + 0.5 * (types + 1))
     size_log = np.log10(class_n + 0.5 * (class_v + 1))
     size_log[: HEAD + 1] = 0

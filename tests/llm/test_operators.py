@@ -478,6 +478,28 @@ def test_lm_beats_counts_on_held_out_texts(spark):
     assert out[0] > out[1]
 
 
+def test_lm_does_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 30_000)
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    one, many = ({r.doc_id: r.score for r in lm.score(df.repartition(n)).collect()} for n in (1, 9))
+    assert all(abs(one[i] - many[i]) <= 1e-4 * abs(one[i]) for i in one)
+
+
+def test_lm_like_a_plain_loop(spark):
+    """One symbol at a time: context sum, all products, softmax."""
+    r = np.random.default_rng(5)
+    m = lm.Lbl(r.random(lm.SIZE) + 0.01)
+    m.prepare()
+    seq = np.concatenate([r.integers(0, lm.HEAD, 12), [lm.HEAD], r.integers(0, lm.SIZE, 6), [lm.HEAD]])
+    want, before = [], (lm.START, lm.START)
+    for w in seq.tolist():
+        c = m.p["first"][before[0]] + m.p["second"][before[1]]
+        z = [sum(float(x) * float(y) for x, y in zip(c, m.p["out"][s])) + float(m.p["bias"][s]) for s in range(lm.SIZE)]
+        want.append((z[w] - math.log(sum(map(math.exp, z)))) / math.log(10))
+        before = (lm.START, lm.START) if w == lm.HEAD else (w, before[0])
+    assert np.allclose(m.log10(*lm.contexts(seq), seq), want, atol=1e-4)
+
+
 def test_lm_is_normalised():
     m = lm.Lbl(np.ones(lm.SIZE))
     m.prepare()
