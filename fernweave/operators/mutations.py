@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from fernweave.plans.schema import KEYS, SCHEMAS, Graph
 
 
+#: Columns that a stored row keeps when another comes with its key.
+KEPT = {"edges": ["source_id"]}
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], keep: list[str] | None = None, only_if: str | None = None, seq: str | None = None) -> DataFrame:
     """Incoming rows replace existing ones of their key. Of incoming rows with one key the last by `seq` counts.
 
@@ -43,11 +48,12 @@ def replace_files(graph: Graph, incoming: DataFrame) -> Graph:
     return Graph(left.repos, upsert(left.files, incoming, ["repo_id", "path"]), left.symbols, left.edges, left.nodes, left.vectors)
 
 
-def update(existing: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Set the columns of changes (nulls leave a value as it is) on the rows of its keys."""
-    new = changes.select(*keys, *(F.col(c).alias(f"__{c}") for c in changes.columns if c not in keys))
+def update(existing: DataFrame, changes: DataFrame, keys: list[str], nulls: bool = False) -> DataFrame:
+    """Set the columns of changes on the rows of its keys. Nulls leave a value as it is, unless `nulls` says that they are set."""
+    new = changes.select(*keys, F.lit(True).alias("__hit"), *(F.col(c).alias(f"__{c}") for c in changes.columns if c not in keys))
     joined = existing.join(new, keys, "left")
-    return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in new.columns else F.col(c) for c in existing.columns))
+    value = lambda c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) if nulls else F.coalesce(f"__{c}", c)
+    return joined.select(*(value(c).alias(c) if c in changes.columns and c not in keys else F.col(c) for c in existing.columns))
 
 
 def delete(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +76,8 @@ def delete_files(graph: Graph, gone: DataFrame) -> Graph:
 
 
 class Store:
-    """Tables as Parquet versions: a write makes a new version and then moves the pointer, so readers see all or nothing."""
+    """Tables as Parquet versions. What a store holds is named by its last manifest, one small file for all tables, which is written
+    aside and renamed; so a write of several tables is seen whole or not at all."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -79,28 +86,57 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
+    def _manifest(self) -> tuple[int, dict[str, str]]:
+        p, fs = self._fs(f"{self.root}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        last = max((n for n in names if n.endswith(".json")), default=None)
+        if last is None:
+            return 0, {}
+        return int(last.removesuffix(".json")), json.loads(self.spark.read.text(f"{self.root}/manifests/{last}", wholetext=True).first()[0])
+
+    def _publish(self, number: int, tables: dict[str, str]) -> bool:
+        """Make manifest `number`; False if another writer has made it."""
+        aside, fs = self._fs(f"{self.root}/manifests/{uuid.uuid4().hex}.new")
+        out = fs.create(aside, False)
+        out.write(json.dumps(tables).encode())
+        out.close()
+        final, _ = self._fs(f"{self.root}/manifests/{number:09d}.json")
+        done = not fs.exists(final) and fs.rename(aside, final)
+        if not done:
+            fs.delete(aside, False)
+        return done
+
     def exists(self, name: str) -> bool:
-        p, fs = self._fs(f"{self.root}/{name}.current")
-        return fs.exists(p)
+        return name in self._manifest()[1]
 
     def read(self, name: str) -> DataFrame:
-        if not self.exists(name):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        version = self.spark.read.text(f"{self.root}/{name}.current").first()[0]
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        version = self._manifest()[1].get(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/{version}") if version else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """New versions of several tables, which become current together."""
+        made = {name: uuid.uuid4().hex for name in tables}
+        for name, df in tables.items():
+            df.write.parquet(f"{self.root}/{name}/{made[name]}")
+        while True:
+            number, have = self._manifest()
+            if self._publish(number + 1, have | made):
+                return
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}.current")
+        self.write_all({name: df})
 
     def append(self, name: str, df: DataFrame) -> None:
         self.write(name, self.read(name).unionByName(df, allowMissingColumns=True))
 
-    def upsert(self, name: str, df: DataFrame) -> None:
+    def upserted(self, name: str, df: DataFrame) -> DataFrame:
+        """The table as an upsert of df leaves it."""
         have = self.read(name)
         new = df.select(*(df[c] if c in df.columns else F.lit(None).cast(have.schema[c].dataType).alias(c) for c in have.columns))
-        self.write(name, upsert_files(have, new) if name == "files" else upsert(have, new, KEYS[name]))
+        return upsert_files(have, new) if name == "files" else upsert(have, new, KEYS[name], keep=KEPT.get(name))
+
+    def upsert(self, name: str, df: DataFrame) -> None:
+        self.write(name, self.upserted(name, df))
 
     def graph(self) -> Graph:
         return Graph(*(self.read(n) for n in ("repositories", "files", "symbols", "edges", "ast_nodes", "vectors")))

@@ -26,6 +26,7 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int, seed: bool = False) ->
 
     seed: the start nodes themselves are reached at depth 0. depth 0: until nothing new is reached.
     """
+    edges = stash(edges.select("a", "b").distinct())  # every hop reads it
     begin = stash(starts.select("start", "node", F.lit(0).alias("depth")).distinct())
     seen, frontier, parts, d = (begin if seed else begin.limit(0)), begin, [begin], 0
     while not depth or d < depth:
@@ -42,6 +43,7 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int, seed: bool = False) ->
             unstash(*parts[1:-1])
             # what was seen holds all parts; the last one is the frontier still
             parts, seen = [begin, whole], whole
+    unstash(edges)
     return seen
 
 

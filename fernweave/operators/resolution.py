@@ -53,15 +53,25 @@ def resolve(deps: DataFrame, symbols: DataFrame, imports: DataFrame, externals:
     the smallest symbol id. Non-import edges without a source are dropped; unresolved targets stay, without an id.
     """
     cand = symbols.select("symbol_id", "name", F.col("path").alias("cpath"), basename(F.col("path")).alias("base"))
-    mods = imports.where("coalesce(module, '') <> ''").select("file_id", basename(F.col("module")).alias("base"), F.lit(True).alias("imported")).distinct()
+    mods = imports.where("coalesce(module, '') <> ''").select("file_id", basename(F.col("module")).alias("base")).distinct()
+    # one row for each way to name a symbol, so a name that a third of all files have is joined as one row
+    least = F.min(F.struct("symbol_id", "cpath"))
+    here = cand.groupBy("name", F.col("cpath").alias("path")).agg(F.min("symbol_id").alias("own"))
+    by_base = cand.groupBy("name", "base").agg(least.alias("x"))
+    by_name = cand.groupBy("name").agg(least.alias("any"), F.count("*").alias("n"))
 
     def looked_up(column: str, prefix: str) -> DataFrame:
         asked = deps.select("dep_id", "file_id", "path", F.col(column).alias("name")).where("coalesce(name, '') <> ''")
-        found = asked.join(cand, "name").join(mods, ["file_id", "base"], "left")
-        tier = F.when(F.col("cpath") == F.col("path"), 1).when(F.col("imported"), 2).otherwise(3)
-        # the least of (tier, id) by partial minimum, so a name that many files have is no hot key of a window
-        best = found.groupBy("dep_id").agg(F.min(F.struct(tier.alias("tier"), "symbol_id", "cpath")).alias("b"), F.count("*").alias("n"))
-        return best.select("dep_id", F.col("b.symbol_id").alias(f"{prefix}_id"), F.col("b.cpath").alias(f"{prefix}_path"), F.col("b.tier").alias(f"{prefix}_tier"), F.col("n").alias(f"{prefix}_candidates"))
+        found = asked.join(by_name, "name").join(here, ["name", "path"], "left")
+        far = found.where("own IS NULL AND n > 0").select("dep_id", "file_id", "name").join(mods, "file_id").join(by_base, ["name", "base"])
+        far = far.groupBy("dep_id").agg(F.min("x").alias("imported"))
+        found = found.join(far, "dep_id", "left")
+        tier = F.when(F.col("own").isNotNull(), 1).when(F.col("imported").isNotNull(), 2).otherwise(3)
+        other = F.coalesce("imported", "any")
+        return found.select(
+            "dep_id", F.coalesce("own", other["symbol_id"]).alias(f"{prefix}_id"), F.when(F.col("own").isNotNull(), F.col("path")).otherwise(other["cpath"]).alias(f"{prefix}_path"),
+            tier.alias(f"{prefix}_tier"), F.col("n").alias(f"{prefix}_candidates"),
+        )
 
     d = deps.join(looked_up("source", "source"), "dep_id", "left").join(looked_up("target", "target"), "dep_id", "left")
     if externals is not None:

@@ -17,6 +17,10 @@ from fernweave.operators.reach import expand
 from fernweave.plans.schema import Graph
 
 
+#: Distinct terms of the questions that are looked for in the plan itself, and questions that are broadcast, at most.
+TERMS, QUESTIONS = 10_000, 10_000
+
+
 @dataclass(frozen=True)
 class Filters:
     entity_types: list[str] = field(default_factory=list)
@@ -71,8 +75,12 @@ def keyword_search(graph: Graph, questions: DataFrame, limit: int = 10, filters:
     q = questions.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
     q = q.select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
     docs = candidates(graph, filters, keyword=True).select("vector_id", "entity_id", "chunk_index", tokens(F.col("content")).alias("t"))
-    index = docs.select("vector_id", "entity_id", "chunk_index", F.size("t").alias("length"), F.explode("t").alias("term"))
-    # only tokens that some question asks for are counted
+    asked = [r["term"] for r in q.select("term").distinct().limit(TERMS + 1).collect()]
+    if len(asked) <= TERMS:  # what nobody asks for is left out before there is a row for each token
+        docs = docs.select("vector_id", "entity_id", "chunk_index", F.filter("t", lambda x: x.isin(asked)).alias("t"), F.size("t").alias("length"))
+    else:
+        docs = docs.withColumn("length", F.size("t"))
+    index = docs.select("vector_id", "entity_id", "chunk_index", "length", F.explode("t").alias("term"))
     hits = index.join(q, "term").groupBy("query_id", "vector_id", "entity_id", "chunk_index", "length", "wanted", "term").agg(F.count("*").alias("tf"))
     hits = hits.groupBy("query_id", "vector_id", "entity_id", "chunk_index", "length", "wanted").agg(F.count("*").alias("n"), F.sum(F.col("tf") / (F.col("tf") + 1.0)).alias("s"))
     score = F.col("s") / F.col("wanted") / (1 + F.log("length"))
@@ -83,7 +91,8 @@ def similarity_search(graph: Graph, questions: DataFrame, limit: int = 10, filte
     """questions(query_id, embedding): a stated set of queries, against all vectors that pass the filters. limit 0: no limit."""
     v = candidates(graph, filters).select("vector_id", "entity_id", "chunk_index", "embedding")
     q = questions.where("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("asked"))
-    scored = v.join(q).select("query_id", "vector_id", "entity_id", "chunk_index", cosine(F.col("embedding"), F.col("asked")).alias("score")).where("score IS NOT NULL")
+    few = q.select("query_id").limit(QUESTIONS + 1).count() <= QUESTIONS
+    scored = v.join(F.broadcast(q) if few else q).select("query_id", "vector_id", "entity_id", "chunk_index", cosine(F.col("embedding"), F.col("asked")).alias("score")).where("score IS NOT NULL")
     if filters.min_similarity > 0:
         scored = scored.where(F.col("score") >= filters.min_similarity)
     return _ranked(scored, limit, "query_id")

@@ -11,9 +11,12 @@ from fernweave.functions.lineage import stash, unstash
 from fernweave.functions.text import file_symbol_id
 from fernweave.operators import chunking, mutations, relations, resolution, validation
 from fernweave.operators.mutations import Store
-from fernweave.plans.schema import SCHEMAS, Graph
+from fernweave.plans.schema import SCHEMAS
 from fernweave.sources import parsers, scan
 
+#: Errors and violations that a result names; all are counted.
+SHOWN = 1000
+
 
 @dataclass(frozen=True)
 class Options:
@@ -34,7 +37,8 @@ class Result:
     symbols: int
     edges: int
     vectors: int
-    errors: list[tuple[str, str]]
+    errors: list[tuple[str, str]]  # the first SHOWN of them
+    n_errors: int = 0
 
 
 def _shaped(df: DataFrame, name: str) -> DataFrame:
@@ -70,6 +74,12 @@ def edges_of(found: dict[str, DataFrame], known: DataFrame) -> DataFrame:
     return edges.withColumn("source_id", F.coalesce("source_id", virtual))
 
 
+def _external_file(external: DataFrame) -> DataFrame:
+    """The row of the file that external symbols belong to, if there are any."""
+    row = external.select(F.col("file_path").alias("file_id"), F.col("file_path").alias("path")).distinct()
+    return _shaped(row.withColumns({"repo_id": F.lit(None), "language": F.lit("external"), "size": F.lit(0), "checksum": F.lit("")}), "files")
+
+
 def violations(files: DataFrame, symbols: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
     return validation.files(files).union(validation.symbols(symbols, files)).union(validation.edges(edges, known))
 
@@ -92,14 +102,14 @@ def index(spark: SparkSession, store: Store, root: str, repo_id: str, name: str,
     known = symbols.select("symbol_id", "name", "path").union(kept)
     edges = stash(edges_of(found, known))
     ids = own.select("symbol_id").union(kept.select("symbol_id")).union(external.select("symbol_id")).union(virtual.select("symbol_id")).union(store.read("symbols").select("symbol_id"))
-    errors = [(r["file"], r["message"]) for r in found["errors"].limit(1000).collect()]
-    wrong = violations(files, _shaped(symbols, "symbols"), edges, ids).limit(100).collect()
-    if wrong:
-        return Result("failed", 0, 0, 0, 0, [(r["entity_id"], r["message"]) for r in wrong])
+    n_errors = found["errors"].count()
+    errors = [(r["file"], r["message"]) for r in found["errors"].limit(SHOWN).collect()]
+    wrong = stash(violations(files, _shaped(symbols, "symbols"), edges, ids))
+    if n_wrong := wrong.count():
+        return Result("failed", 0, 0, 0, 0, [(r["entity_id"], r["message"]) for r in wrong.limit(SHOWN).collect()], n_wrong)
+    unstash(wrong)
     repo = spark.createDataFrame([(repo_id, name, root, "main")], "repo_id string, name string, url string, branch string")
-    store.upsert("repositories", _shaped(repo, "repositories"))
     graph = store.graph()
-    graph = Graph(graph.repos, graph.files, graph.symbols, graph.edges, graph.nodes, graph.vectors)
     incoming = _shaped(files.withColumn("repo_id", F.lit(repo_id)), "files")
     left = mutations.replace_files(graph, incoming)
     if options.delete_missing:
@@ -108,17 +118,23 @@ def index(spark: SparkSession, store: Store, root: str, repo_id: str, name: str,
     new_edges = _shaped(edges, "edges")
     if options.associate_headers:
         new_edges = new_edges.union(_shaped(header_edges(files.withColumn("repo_id", F.lit(repo_id)), symbols), "edges"))
-    store.write("symbols", mutations.upsert(left.symbols, own.union(_shaped(external.withColumn("file_id", F.col("file_path")), "symbols")), ["symbol_id"]))
-    store.write("edges", mutations.upsert(left.edges, new_edges, ["edge_id"]))
-    store.write("files", left.files)
+    tables = {
+        "repositories": store.upserted("repositories", _shaped(repo, "repositories")),
+        "symbols": mutations.upsert(left.symbols, own.union(_shaped(external.withColumn("file_id", F.col("file_path")), "symbols")), ["symbol_id"]),
+        "edges": mutations.upsert(left.edges, new_edges, ["edge_id"], keep=mutations.KEPT["edges"]),
+        "files": mutations.upsert(left.files, _external_file(external), ["file_id"]),
+        "ast_nodes": left.nodes,
+    }
     n = 0
     if options.embed:
         chunks = chunking.symbol_chunks(_shaped(symbols, "symbols"))
         vectors = stash(chunking.embed(chunks, chunking.hashing_embedder(options.dimension), options.model, options.dimension))
-        store.upsert("vectors", _shaped(vectors.where("error IS NULL"), "vectors"))
+        tables["vectors"] = store.upserted("vectors", _shaped(vectors.where("error IS NULL"), "vectors"))
         n = vectors.count()
+    store.write_all(tables)
+    if options.embed:
         unstash(vectors)
-    result = Result("success_with_warnings" if errors else "success", files.count(), symbols.count(), edges.count(), n, errors)
+    result = Result("success_with_warnings" if errors else "success", files.count(), symbols.count(), edges.count(), n, errors, n_errors)
     unstash(sources, files, symbols, edges)
     return result
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.functions.text import basename, checksum, dirname, normal_signature, split_identifier, tokens, uuid5
@@ -13,6 +13,7 @@ from fernweave.operators import chunking, metrics, mutations, reach, relations,
 from fernweave.plans.projection import SQL, graph, table
 from fernweave.sources.ignore import ignored, rules
 from fernweave.sources.languages import is_binary, language
+from fernweave.streaming.ingest import latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,9 +193,9 @@ def dependencies_all(spark, sf_dir):
     return relations.dependencies(graph(spark, sf_dir), 14)
 
 
-@query("SELECT source_id, edge_type, target_module FROM edges WHERE source_id = 8 AND target_id IS NULL AND target_module IS NOT NULL")
+@query("SELECT source_id, edge_type, target_module FROM edges WHERE source_id = 97 AND target_id IS NULL AND target_module IS NOT NULL")
 def external_dependencies(spark, sf_dir):
-    return relations.external_dependencies(graph(spark, sf_dir), 8).select("source_id", "edge_type", "target_module")
+    return relations.external_dependencies(graph(spark, sf_dir), 97).select("source_id", "edge_type", "target_module")
 
 
 @query("SELECT s.symbol_id, s.file_id, s.name, s.kind, s.start_line, f.repo_id, f.path, f.language, r.name AS repo_name FROM symbols AS s JOIN files AS f USING (file_id) JOIN repos AS r USING (repo_id)")
@@ -284,13 +285,13 @@ def impact_tree(spark, sf_dir):
     return reach.impact_tree(reach.reachable(g, busiest(g.edges, "source_id"), 99))
 
 
-@query("""WITH spec AS (SELECT symbol_id AS chain_id, symbol_id AS a, symbol_id + 20 AS b FROM symbols WHERE symbol_id % 500 = 0 AND symbol_id + 20 IN (SELECT symbol_id FROM symbols)),
+@query("""WITH spec AS (SELECT symbol_id AS chain_id, symbol_id AS a, symbol_id + 20 AS b FROM symbols WHERE symbol_id % 100 = 0 AND symbol_id + 20 IN (SELECT symbol_id FROM symbols)),
   r(chain_id, id) AS (SELECT chain_id, a FROM spec UNION SELECT r.chain_id, e.target_id FROM r JOIN edges AS e ON e.source_id = r.id WHERE e.edge_type = 'call' AND e.target_id IS NOT NULL)
   SELECT spec.chain_id, count(r.id) > 0 AS ok FROM spec LEFT JOIN r ON r.chain_id = spec.chain_id AND r.id = spec.b GROUP BY spec.chain_id""")
 def chain_connectivity(spark, sf_dir):
     g = graph(spark, sf_dir)
     at = g.symbols.select("symbol_id", "name", "file_id").join(g.files.select("file_id", "repo_id", "path"), "file_id")
-    a = at.where("symbol_id % 500 = 0").select(F.col("symbol_id").alias("chain_id"), "repo_id", F.col("name").alias("start_name"), F.col("path").alias("start_path"))
+    a = at.where("symbol_id % 100 = 0").select(F.col("symbol_id").alias("chain_id"), "repo_id", F.col("name").alias("start_name"), F.col("path").alias("start_path"))
     b = at.select((F.col("symbol_id") - 20).alias("chain_id"), F.col("name").alias("end_name"), F.col("path").alias("end_path"))
     return reach.chains(g, a.join(b, "chain_id"))
 
@@ -302,14 +303,14 @@ def ast_subtree(spark, sf_dir):
     return reach.subtree(n, n.where("parent_id IS NULL").select("node_id"))
 
 
-@query("""WITH hit AS (SELECT symbol_id AS id FROM symbols WHERE symbol_id < 200),
+@query("""WITH hit AS (SELECT symbol_id AS id FROM symbols),
   near AS (SELECT hit.id AS hit_id, 'callees' AS side, s.symbol_id AS other, s.name, s.kind FROM hit JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'call') AS e ON e.source_id = hit.id JOIN symbols AS s ON s.symbol_id = e.target_id
     UNION ALL SELECT hit.id, 'callers', s.symbol_id, s.name, s.kind FROM hit JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'call') AS e ON e.target_id = hit.id JOIN symbols AS s ON s.symbol_id = e.source_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY hit_id, side ORDER BY name, other)::INT AS position FROM near)
   SELECT hit_id, hit_id AS symbol_id, side, position, other AS neighbour_id, name, kind FROM r WHERE position <= 5""")
 def hybrid_expand_1hop(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return reach.expand(g, g.symbols.where("symbol_id < 200").select(F.col("symbol_id").alias("hit_id"), "symbol_id"))
+    return reach.expand(g, g.symbols.select(F.col("symbol_id").alias("hit_id"), "symbol_id"))
 
 
 # counts and metrics
@@ -396,7 +397,6 @@ def split_identifier_words(spark, sf_dir):
 
 
 TOKENS = "list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(content, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
-QUESTIONS = [(1, "the and that"), (2, "of to thatIn"), (3, "de la"), (4, "nothing matches thisQuery"), (5, "")]
 
 
 @query(f"SELECT vector_id, len(t)::INT AS n, len(list_distinct(t))::INT AS n_distinct FROM (SELECT vector_id, {TOKENS} AS t FROM vectors)")
@@ -405,7 +405,7 @@ def content_tokens(spark, sf_dir):
 
 
 KEYWORD = f"""kd AS (SELECT vector_id, entity_id, chunk_index, {TOKENS} AS t FROM vectors),
-  kq(query_id, terms) AS (VALUES (1, ['the', 'and', 'that']), (2, ['of', 'to', 'that', 'in']), (3, ['de', 'la']), (4, ['nothing', 'matches', 'this', 'query'])),
+  kq AS (SELECT entity_id AS query_id, list_distinct([t[1], t[len(t) // 2 + 1]]) AS terms FROM kd WHERE entity_id % 100 = 0 AND len(t) > 0),
   kt AS (SELECT query_id, vector_id, entity_id, chunk_index, t, len(terms) AS w, unnest(terms) AS term, terms FROM kd CROSS JOIN kq WHERE len(list_filter(terms, lambda x: list_contains(t, x))) = len(terms)),
   kf AS (SELECT query_id, vector_id, entity_id, chunk_index, w, len(t) AS n, len(list_filter(t, lambda x: x = term)) AS tf FROM kt),
   ks AS (SELECT query_id, vector_id, entity_id, chunk_index, sum(tf / (tf + 1.0)) / any_value(w) / (1 + ln(any_value(n))) AS score FROM kf GROUP BY ALL),
@@ -413,10 +413,10 @@ KEYWORD = f"""kd AS (SELECT vector_id, entity_id, chunk_index, {TOKENS} AS t FRO
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A few stated questions, with the embeddings of some vectors."""
-    q = spark.createDataFrame(QUESTIONS, "query_id int, text string")
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(1, 5)).select(F.col("vec_id").cast("int").alias("query_id"), "embedding")
-    return q.join(e, "query_id", "left")
+    """Every vector whose id is divisible by 100 asks: with its embedding, and for the first and the middle word of its content."""
+    v = graph(spark, sf_dir).vectors.where("entity_id % 100 = 0").select(F.col("entity_id").alias("query_id"), "embedding", "label", tokens(F.col("content")).alias("t"))
+    text = F.concat_ws(" ", F.get("t", F.lit(0)), F.get("t", (F.size("t") / 2).cast("int")))
+    return v.select("query_id", "embedding", "label", text.alias("text"))
 
 
 @query("WITH " + KEYWORD + " SELECT query_id, vector_id, rank::INT AS rank, round(score, 6) AS score FROM kr WHERE rank <= 10")
@@ -425,7 +425,7 @@ def keyword_search(spark, sf_dir):
     return found.select("query_id", "vector_id", "rank", F.round("score", 6).alias("score"))
 
 
-VECTOR = """vq AS (SELECT vec_id::INT AS query_id, embedding AS q FROM embeddings WHERE vec_id BETWEEN 1 AND 5),
+VECTOR = """vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
   vs AS (SELECT query_id, vector_id, entity_id, chunk_index, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)) AS score FROM vectors CROSS JOIN vq),
   vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, entity_id, chunk_index) AS rank FROM vs)"""
 
@@ -464,18 +464,17 @@ def context_assembly(spark, sf_dir):
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Results of the vector mode at two limits for every fiftieth vector, and what is relevant: vectors of the same label."""
-    g = graph(spark, sf_dir)
-    v = g.vectors.where("entity_id % 50 = 0").select(F.col("entity_id").alias("query_id"), "embedding", "label")
-    found = retrieval.similarity_search(g, v.select("query_id", "embedding"), 10).select("query_id", F.col("entity_id").cast("string").alias("name"), "rank")
-    wanted = v.select("query_id", "label").join(g.vectors.select("entity_id", "label"), "label").select("query_id", F.col("entity_id").cast("string").alias("name"))
-    both = found.select(F.lit("vector").alias("mode"), "*").union(found.where("rank > 1").select(F.lit("others").alias("mode"), "query_id", "name", (F.col("rank") - 1).alias("rank")))
-    return both, wanted
+    """Results of the three modes for the stated questions, and what is relevant: vectors of the same label."""
+    g, q = graph(spark, sf_dir), _questions(spark, sf_dir)
+    each = [retrieval.search(g, q, mode, 10).select(F.lit(mode).alias("mode"), "query_id", F.col("entity_id").cast("string").alias("name"), "rank") for mode in ("vector", "keyword", "hybrid")]
+    wanted = q.select("query_id", "label").join(g.vectors.select("entity_id", "label"), "label").select("query_id", F.col("entity_id").cast("string").alias("name"))
+    return each[0].union(each[1]).union(each[2]), wanted
 
 
-MODES = """WITH q AS (SELECT entity_id AS query_id, embedding AS e, label FROM vectors WHERE entity_id % 50 = 0),
-  s AS (SELECT query_id, v.entity_id, q.label = v.label AS good, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.e, lambda x: x::DOUBLE)), 12) DESC, v.entity_id) AS rank FROM q CROSS JOIN vectors AS v),
-  res AS (SELECT 'vector' AS mode, query_id, good, rank FROM s WHERE rank <= 10 UNION ALL SELECT 'others', query_id, good, rank - 1 FROM s WHERE rank BETWEEN 2 AND 10),
+MODES = "WITH " + HYBRID + """,
+  q AS (SELECT entity_id AS query_id, label FROM vectors WHERE entity_id % 100 = 0),
+  found AS (SELECT 'vector' AS mode, query_id, entity_id, rank FROM vr WHERE rank <= 10 UNION ALL SELECT 'keyword', query_id, entity_id, rank FROM kr WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, entity_id, rank FROM hr WHERE rank <= 10),
+  res AS (SELECT mode, found.query_id, q.label = v.label AS good, rank FROM found JOIN q ON q.query_id = found.query_id JOIN vectors AS v ON v.entity_id = found.entity_id),
   w AS (SELECT q.query_id, count(*) AS wanted FROM q JOIN vectors AS v ON v.label = q.label GROUP BY q.query_id),
   pq AS (SELECT mode, query_id, (count(*) FILTER (WHERE good))::DOUBLE / any_value(wanted) AS recall, coalesce(1.0 / min(rank) FILTER (WHERE good), 0) AS mrr FROM res JOIN w USING (query_id) GROUP BY mode, query_id)
 """
@@ -491,10 +490,10 @@ def mode_compare(spark, sf_dir):
     return metrics.mode_compare(metrics.retrieval_metrics(*_modes(spark, sf_dir))).select("mode_a", "mode_b", F.round("difference", 9).alias("difference"))
 
 
-@query("""WITH n AS (SELECT DISTINCT e.source_id AS query_id, e.target_id FROM edges AS e WHERE edge_type = 'call' AND target_id IS NOT NULL AND source_id < 1000)
+@query("""WITH n AS (SELECT DISTINCT e.source_id AS query_id, e.target_id FROM edges AS e WHERE edge_type = 'call' AND target_id IS NOT NULL)
   SELECT round(avg(hit), 9) AS value FROM (SELECT query_id, max(CASE WHEN target_id % 7 = query_id % 7 THEN 1 ELSE 0 END) AS hit FROM n GROUP BY query_id)""")
 def neighbor_hit_rate(spark, sf_dir):
-    e = graph(spark, sf_dir).edges.where("edge_type = 'call' AND target_id IS NOT NULL AND source_id < 1000").select(F.col("source_id").alias("query_id"), F.col("target_id").alias("name")).distinct()
+    e = graph(spark, sf_dir).edges.where("edge_type = 'call' AND target_id IS NOT NULL").select(F.col("source_id").alias("query_id"), F.col("target_id").alias("name")).distinct()
     return metrics.neighbor_hits(e, e.where("name % 7 = query_id % 7")).select(F.round("value", 9).alias("value"))
 
 
@@ -632,8 +631,5 @@ def ignore_filter(spark, sf_dir):
 @query("""SELECT user_id AS repo_id, event_type AS path, event_id AS last_event FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""", plain=True)
 def incremental_ingest(spark, sf_dir):
     """The last change of each file in the events' feed, as the stream's batches take it."""
-    feed = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return feed.withColumn("n", F.row_number().over(order)).where("n = 1").select(F.col("user_id").alias("repo_id"), F.col("event_type").alias("path"), F.col("event_id").alias("last_event"))
-
-
+    feed = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo_id"), F.col("event_type").alias("path"), F.col("event_id").alias("checksum"), "ts")
+    return latest(feed).select("repo_id", "path", F.col("checksum").alias("last_event"))

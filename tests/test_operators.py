@@ -260,3 +260,47 @@ def test_gates(spark):
     m = spark.createDataFrame([("edge_recall", 0.8), ("orphan_symbol_ratio", 0.3), ("other", 0.0)], "metric string, value double")
     assert {r.metric: r.passed for r in metrics.passed(m).collect()} == {"edge_recall": False, "orphan_symbol_ratio": True, "other": True}
     assert {r.metric: r.passed for r in metrics.passed(m, override={"edge_recall": 0.5}).collect()}["edge_recall"]
+
+
+def test_store_writes_tables_together(spark, tmp_path):
+    store = mutations.Store(spark, str(tmp_path / "store"))
+    edge = lambda source: spark.createDataFrame([("e", source, "call")], "edge_id string, source_id string, edge_type string")
+    store.upsert("edges", edge("a"))
+    store.upsert("edges", edge("b").withColumn("edge_type", F.lit("import")))
+    assert [(r.source_id, r.edge_type) for r in store.read("edges").collect()] == [("a", "import")]  # the stored source stays
+    bad = store.read("edges").withColumn("edge_type", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        store.write_all({"files": spark.createDataFrame([], SCHEMAS["files"]), "edges": bad})
+    assert not store.exists("files") and store.read("edges").count() == 1
+    assert not store._publish(store._manifest()[0], {})
+
+
+def test_update_sets_nulls(spark):
+    have = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, w string")
+    change = spark.createDataFrame([(1, None)], "k int, v string")
+    assert sorted(map(tuple, mutations.update(have, change, ["k"]).collect())) == [(1, "a", "x"), (2, "b", "y")]
+    assert sorted(map(tuple, mutations.update(have, change, ["k"], nulls=True).collect()), key=str) == [(1, None, "x"), (2, "b", "y")]
+
+
+def test_resolve_tiers_against_all_candidates(spark):
+    """Same file, then imported, then any, ties by id; against a loop over all candidates."""
+    r = random.Random(3)
+    symbols = [(i, r.choice("abc"), f"d{r.randrange(3)}/f{r.randrange(4)}") for i in range(60)]
+    imports = [(f, f"m/f{r.randrange(4)}") for f in range(12)]
+    deps = [(i, r.randrange(12), f"d{r.randrange(3)}/f{r.randrange(4)}", "call", r.choice("abc"), r.choice("abcz"), None) for i in range(80)]
+    base = lambda p: p.rsplit("/", 1)[-1]
+
+    def best(name, file_id, path):
+        found = [(1 if p == path else 2 if any(f == file_id and base(m) == base(p) for f, m in imports) else 3, i) for i, n, p in symbols if n == name]
+        return min(found, default=(None, None))
+
+    out = resolution.resolve(
+        spark.createDataFrame(deps, "dep_id int, file_id int, path string, type string, source string, target string, target_module string"),
+        spark.createDataFrame(symbols, "symbol_id int, name string, path string"), spark.createDataFrame(imports, "file_id int, module string"),
+    ).collect()
+    assert len(out) > 20
+    for row in out:
+        d = deps[row.dep_id]
+        tier, target = best(d[5], d[1], d[2])
+        assert (row.source_id, row.target_id) == (best(d[4], d[1], d[2])[1], target)
+        assert row.strategy == (None if tier is None else ["same_file", "import", "first"][tier - 1])
