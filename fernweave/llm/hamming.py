@@ -23,8 +23,9 @@ SEGMENTS, BITS = 4, 16
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i is 1 where component i is above 0; the first 64 components count."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    """Bit i is 1 where component i is above 0. A code has 64 bits; a longer vector is an error."""
+    whole = F.when(F.size(vector) > 64, F.raise_error(F.lit("a code has 64 bits at most")).cast("array<double>")).otherwise(vector.cast("array<double>"))
+    bits = F.transform(whole, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.coalesce(b, F.lit(0).cast("long"))))
 
 

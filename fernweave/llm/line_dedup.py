@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is kept unless the same line, or for lines of at least MIN_WORDS words a line within one edit of a word (a word put in,
-taken out or replaced), stands earlier in the collection. The order is that of (doc_id, text hash, line number), nulls first.
+A line is kept unless the same line, or a line within one edit of a word (a word put in, taken out or replaced), stands earlier in
+the collection; the edit must be no more than a fifth of a line, so both lines have MIN_WORDS words or more (shorter ones are
+less than 0.8 alike with one edit, and go only if equal). The order is that of (doc_id, text hash, line number), nulls first.
 Lines are compared as their words (parts between white space); lines without words are kept.
 
 Equal lines are brought together by hash first, so a line that a third of all rows have is one row from there on. A line that
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from fernweave.llm.common import small_enough, stash, unstash
 
-MIN_WORDS = 10
+#: One edit leaves lines of so many words 0.8 alike.
+MIN_WORDS = 5
 
 
 def words(line: Column) -> Column:

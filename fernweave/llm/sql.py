@@ -22,6 +22,8 @@ f AS (SELECT w, len(w) AS n, min((doc_id * 1000000 + i)::BIGINT) AS place FROM l
 k AS (
   SELECT place, n, w, 'first' AS side, w[1:4] AS part FROM f WHERE n >= 10
   UNION ALL SELECT place, n, w, 'last', w[n - 3:n] FROM f WHERE n >= 10
+  UNION ALL SELECT place, n, w, 'first', w[1:2] FROM f WHERE n BETWEEN 5 AND 10
+  UNION ALL SELECT place, n, w, 'last', w[n - 1:n] FROM f WHERE n BETWEEN 5 AND 10
 ),
 pairs AS (
   SELECT DISTINCT b.place, a.place AS before FROM k AS a JOIN k AS b ON a.side = b.side AND a.part = b.part AND a.place < b.place

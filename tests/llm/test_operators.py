@@ -191,7 +191,7 @@ def lines_by_force(rows):
     near = set()
     for i, x in enumerate(order):
         for y in order[:i]:
-            if min(len(x), len(y)) >= line_dedup.MIN_WORDS and abs(len(x) - len(y)) <= 1 and (x[:4] == y[:4] or x[-4:] == y[-4:]):
+            if min(len(x), len(y)) >= line_dedup.MIN_WORDS and abs(len(x) - len(y)) <= 1 and (x[:2] == y[:2] or x[-2:] == y[-2:]):
                 p = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
                 s = next((k for k, (a, b) in enumerate(zip(x[::-1], y[::-1])) if a != b), min(len(x), len(y)))
                 if p + s >= max(len(x), len(y)) - 1:
@@ -223,13 +223,28 @@ def test_line_dedup(spark, docs, odd):
 
 def test_one_edit_of_a_word(spark):
     base = [f"w{i}" for i in range(14)]
-    edits = {"put in": base[:5] + ["new"] + base[5:], "taken out": base[:3] + base[4:], "first": ["x"] + base[1:], "last": base[:-1] + ["x"], "two": base[:1] + ["q"] + base[2:9] + ["r"] + base[10:], "moved": base[1:] + base[:1], "few": base[:9]}
-    rows = [(0, " ".join(base))] + [(i + 1, " ".join(w)) for i, w in enumerate(edits.values())] + [(20, " ".join(base[:8] + ["z"]))]
+    edits = {"put in": base[:5] + ["new"] + base[5:], "taken out": base[:3] + base[4:], "first": ["x"] + base[1:], "last": base[:-1] + ["x"], "two": base[:1] + ["q"] + base[2:9] + ["r"] + base[10:], "moved": base[1:] + base[:1], "few": base[:4]}
+    rows = [(0, " ".join(base))] + [(i + 1, " ".join(w)) for i, w in enumerate(edits.values())] + [(20, " ".join(base[:3] + ["z"]))]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     gone = {list(edits)[i - 1] for i, t in got.items() if t == "" and i}
     assert gone == {"put in", "taken out", "first", "last"}
 
 
+def test_short_lines(spark):
+    """All edits of lines of four to seven words, against brute force."""
+    r = np.random.default_rng(7)
+    lines = []
+    for n in (4, 5, 6, 7):
+        for i in range(12):
+            w = [f"s{n}x{i}y{k}" for k in range(n)]
+            at = int(r.integers(0, n))
+            lines += [w, w[:at] + ["z"] + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + ["q"] + w[at:]]
+    r.shuffle(lines := [" ".join(w) for w in lines])
+    rows = [(i, "\n".join(lines[i::20])) for i in range(20)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_by_force(rows) and sum(len(t.split("\n")) for t in got.values()) < len(lines)
+
+
 def test_words_put_in_at_different_places(spark):
     """Lines of one deletion key that are two edits apart from the earliest: each has its own earlier partner."""
     base = [f"w{i}" for i in range(12)]

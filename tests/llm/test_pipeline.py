@@ -44,3 +44,27 @@ def test_stages(spark):
     assert n <= low * 1.03 + 2
     assert cp.run(spark, DATA).count() == packed.count()
     assert packing.CAP == 2048
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, one doc_id with two texts, columns with names of ours, and no rows at all."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, None), (2, ""), (3, " \n \n"), (4, text), (5, text), (5, text), (6, text + " more"), (None, "no id here at all but words"), (7, " ".join(f"v{i}" for i in range(30_000))), (7, "another text of this id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "node", "score", "keys", "__doc", "t")})
+    for df in (docs, docs.limit(0)):
+        some = stash(df)
+        for _, stage in cp.STAGES[1:3]:
+            after = stash(stage(spark, some, DATA))
+            assert after.columns == docs.columns
+            some = after
+        got = sorted((r.doc_id or 0, len(r.text or "")) for r in some.collect())
+        if df is docs:
+            # lines that stand earlier go, so the later rows become empty texts, and those are one group
+            assert [i for i, _ in got] == [0, 1, 4, 7, 7]
+            assert packing.CAP == 2048 and cp.packing_stage(spark, some, DATA).select("doc_id").distinct().count() == 4
+        else:
+            assert got == [] and cp.packing_stage(spark, some, DATA).count() == 0
+    every = cp.quality_stage(spark, docs, DATA)
+    assert every.columns == docs.columns and every.count() <= docs.count() and cp.quality_stage(spark, docs.limit(0), DATA).count() == 0
