@@ -31,7 +31,9 @@ MIN_WORDS = 5
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
+    # translate goes character by character, so only lines that have one of these pay for it
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.array_remove(F.split(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " "), "")
 
 
 def places(rows: DataFrame) -> DataFrame:
