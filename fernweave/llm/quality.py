@@ -29,6 +29,8 @@ SAMPLE, BYTES = 6000, 48 << 20
 BATCH, ROUND, PATIENCE, STEPS = 64, 50, 3, 800
 #: Chunks whose activations are held at once.
 SLICE = 4096
+#: Chunks of which all places are held at once.
+CACHED = 128
 #: Bytes of a chunk, bytes from one chunk to the next, bytes of a filter, bytes from one place of a filter to the next.
 CHUNK, STEP, WIDTH, STRIDE = 256, 192, 8, 4
 EMBED, FILTERS, HIDDEN = 8, 32, 16
@@ -60,20 +62,29 @@ class Net:
         }
         self.constant: float | None = None
 
-    def convolve(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Activations (n, places, F) of all filters, and the embedded chunks. A filter is two halves of STRIDE bytes."""
-        p = self.p
-        x = p["embed"][chunks].reshape(len(chunks), CHUNK // STRIDE, STRIDE * EMBED)
-        half = STRIDE * EMBED
-        a, b = x @ p["filters"][:half], x @ p["filters"][half:]
-        return a[:, :-1] + b[:, 1:] + p["fbias"], x
+    def pool(self, chunks: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Largest activation (n, F) of each filter in each chunk, and its place if asked for; few chunks at once stay in the cache.
+
+        A filter is two halves of STRIDE bytes, and one product has both halves at every spot.
+        """
+        p, half = self.p, STRIDE * EMBED
+        both = np.concatenate([p["filters"][:half], p["filters"][half:]], 1)
+        top = np.empty((len(chunks), FILTERS), both.dtype)
+        place = np.empty(top.shape, np.int64) if places else None
+        for i in range(0, len(chunks), CACHED):
+            some = chunks[i : i + CACHED]
+            ab = (p["embed"].take(some.ravel(), 0).reshape(-1, half) @ both).reshape(len(some), -1, 2 * FILTERS)
+            act = ab[:, :-1, :FILTERS] + ab[:, 1:, FILTERS:]
+            top[i : i + CACHED] = act.max(1)
+            if place is not None:
+                place[i : i + CACHED] = act.argmax(1)
+        return top + p["fbias"], place
 
     def logits(self, chunks: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        p, each = self.p, []
-        for i in range(0, len(chunks), 512):
-            pooled = np.maximum(self.convolve(chunks[i : i + 512])[0].max(1), 0)
-            each.append(np.maximum(pooled @ p["hidden"] + p["hbias"], 0) @ p["out"])
-        return np.bincount(owner, np.concatenate(each), n) / np.bincount(owner, minlength=n) + float(p["obias"][0])
+        p = self.p
+        pooled = np.maximum(self.pool(chunks)[0], 0)
+        each = np.maximum(pooled @ p["hidden"] + p["hbias"], 0) @ p["out"]
+        return np.bincount(owner, each, n) / np.bincount(owner, minlength=n) + float(p["obias"][0])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
@@ -149,9 +160,7 @@ class Net:
 
     def part(self, chunks: np.ndarray, owner: np.ndarray, sizes: np.ndarray, labels: np.ndarray, z: np.ndarray | None) -> dict[str, np.ndarray]:
         p = self.p
-        act, x = self.convolve(chunks)
-        place = act.argmax(1)
-        top = np.take_along_axis(act, place[:, None], 1)[:, 0]
+        top, place = self.pool(chunks, places=True)
         pooled = np.maximum(top, 0)
         hidden = np.maximum(pooled @ p["hidden"] + p["hbias"], 0)
         if z is None:
@@ -163,19 +172,15 @@ class Net:
         g["hidden"], g["hbias"] = pooled.T @ dh, dh.sum(0)
         dp = dh @ p["hidden"].T * (top > 0)
         g["fbias"] = dp.sum(0)
-        # only each filter's largest place passes a gradient on
-        rows = np.arange(len(chunks))[:, None]
-        half = STRIDE * EMBED
-        left, right = x[rows, place], x[rows, place + 1]
-        g["filters"] = np.concatenate([np.einsum("nf,nfe->ef", dp, left), np.einsum("nf,nfe->ef", dp, right)])
-        spots = chunks.reshape(len(chunks), -1, STRIDE)
-        embed = np.zeros_like(p["embed"])
-        for part, at in ((p["filters"][:half], place), (p["filters"][half:], place + 1)):
-            d = (dp[:, :, None] * part.T[None]).reshape(-1, EMBED)
-            ids = spots[rows, at].ravel()
-            for e in range(EMBED):
-                embed[:, e] += np.bincount(ids, d[:, e], 256)
-        g["embed"] = embed
+        # only each filter's largest place passes a gradient on: its sum by byte, byte of the filter and filter gives both gradients
+        rows, column = np.arange(len(chunks))[:, None], np.arange(FILTERS)
+        by_byte = np.empty((WIDTH, 256, FILTERS), dp.dtype)
+        for w in range(WIDTH):
+            ids = chunks[rows, place * STRIDE + w].astype(np.int64) * FILTERS + column
+            by_byte[w] = np.bincount(ids.ravel(), dp.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+        filters = p["filters"].reshape(WIDTH, EMBED, FILTERS)
+        g["filters"] = (p["embed"].T @ by_byte).reshape(WIDTH * EMBED, FILTERS)
+        g["embed"] = (by_byte @ filters.transpose(0, 2, 1)).sum(0)
         return g
 
 
