@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from fernweave.functions.text import basename, checksum, dirname, normal_signatu
 from fernweave.functions.vectors import cosine, dot, norm
 from fernweave.operators import chunking, metrics, mutations, reach, relations, resolution, retrieval, scans, validation
 from fernweave.plans.projection import SQL, graph, table
+from fernweave.sources import parsers
 from fernweave.sources.ignore import ignored, rules
 from fernweave.sources.languages import is_binary, language
 from fernweave.streaming.ingest import latest
@@ -531,7 +533,12 @@ def kind_mapping(spark, sf_dir):
     return table(spark, sf_dir, "part").select(resolution.map_kind(raw).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
+#: A version 5 UUID of a prefix and an expression, in DuckDB's SQL.
+_SHA1 = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('{0}' || {1}))"
+UUID_SQL = f"substr({_SHA1}, 1, 8) || '-' || substr({_SHA1}, 9, 4) || '-5' || substr({_SHA1}, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr({_SHA1}, 17, 1)) - 1) % 4 + 1, 1) || substr({_SHA1}, 18, 3) || '-' || substr({_SHA1}, 21, 12)"
+
+
+@query(f"SELECT file_id, {UUID_SQL.format('file:', "path || ':' || checksum")} AS uuid FROM files")
 def uuid5_ids(spark, sf_dir):
     return graph(spark, sf_dir).files.select("file_id", uuid5(F.concat(F.lit("file:"), "path", F.lit(":"), "checksum")).alias("uuid"))
 
@@ -633,3 +640,242 @@ def incremental_ingest(spark, sf_dir):
     """The last change of each file in the events' feed, as the stream's batches take it."""
     feed = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo_id"), F.col("event_type").alias("path"), F.col("event_id").alias("checksum"), "ts")
     return latest(feed).select("repo_id", "path", F.col("checksum").alias("last_event"))
+
+
+# the rest of the catalogue: point scans, whole upserts, imports, validation, parsers
+
+
+@query("SELECT repo_id, name, url, branch FROM repos WHERE repo_id = 3")
+def repo_by_id(spark, sf_dir):
+    return scans.repo_by_id(graph(spark, sf_dir).repos, 3)
+
+
+@query("SELECT file_id, repo_id, path, language, size, checksum FROM files WHERE file_id = 25")
+def file_by_id(spark, sf_dir):
+    return scans.by(graph(spark, sf_dir).files, file_id=25)
+
+
+@query("SELECT file_id, repo_id, path, language, size, checksum FROM files WHERE file_id = 25")
+def file_by_path(spark, sf_dir):
+    files = graph(spark, sf_dir).files
+    at = files.where("file_id = 25").first()
+    return scans.file_by_path(files, at["repo_id"], at["path"])
+
+
+@query("SELECT file_id, path FROM files WHERE file_id = 20")
+def changed_files_any(spark, sf_dir):
+    files = graph(spark, sf_dir).files
+    known = {r["file_id"]: r for r in files.where("file_id IN (10, 20)").collect()}
+    return scans.changed_files_any(files, [r["path"] for r in known.values()], [known[10]["checksum"]]).select("file_id", "path")
+
+
+@query("SELECT symbol_id, file_id, name, kind FROM symbols WHERE symbol_id = 12")
+def symbol_by_id(spark, sf_dir):
+    return scans.by(graph(spark, sf_dir).symbols, symbol_id=12).select("symbol_id", "file_id", "name", "kind")
+
+
+@query("SELECT symbol_id, name, start_line FROM symbols WHERE file_id = 10 AND kind = 'function'")
+def symbols_by_file_kind(spark, sf_dir):
+    return scans.symbols_by_file(graph(spark, sf_dir).symbols, 10, "function").select("symbol_id", "name", "start_line")
+
+
+@query("SELECT node_id, type, start_line FROM nodes WHERE file_id = 3")
+def ast_by_file(spark, sf_dir):
+    return scans.by(graph(spark, sf_dir).nodes, ["start_line"], file_id=3).select("node_id", "type", "start_line")
+
+
+@query("SELECT node_id, parent_id, type FROM nodes WHERE parent_id = '3/0'")
+def ast_by_parent(spark, sf_dir):
+    return scans.by(graph(spark, sf_dir).nodes, parent_id="3/0").select("node_id", "parent_id", "type")
+
+
+@query("SELECT node_id, file_id, start_line FROM nodes WHERE type = 'assistant'")
+def ast_by_type(spark, sf_dir):
+    return scans.by(graph(spark, sf_dir).nodes, type="assistant").select("node_id", "file_id", "start_line")
+
+
+@query("SELECT source_id, target_id, edge_type, target_module FROM edges WHERE target_id = 7")
+def edges_by_target(spark, sf_dir):
+    return scans.edges_of(graph(spark, sf_dir).edges, "target_id", 7)
+
+
+@query("SELECT source_id, target_id, edge_type, target_module FROM edges WHERE source_id = 14 AND edge_type IN ('call', 'import')")
+def edges_by_source_type(spark, sf_dir):
+    return scans.edges_of(graph(spark, sf_dir).edges, "source_id", 14, ["call", "import"])
+
+
+@query("SELECT vector_id, entity_id, model FROM vectors WHERE vector_id IN (1, 5, 9)")
+def vectors_by_ids(spark, sf_dir):
+    return scans.by(graph(spark, sf_dir).vectors, vector_id=[1, 5, 9]).select("vector_id", "entity_id", "model")
+
+
+@query("SELECT vector_id, entity_id FROM vectors WHERE entity_type = 'symbol' ORDER BY vector_id DESC LIMIT 100")
+def vectors_by_entity_type(spark, sf_dir):
+    return scans.vectors_by_entity_type(graph(spark, sf_dir).vectors, "symbol", 100, "vector_id").select("vector_id", "entity_id")
+
+
+@query("SELECT repo_id, kind, count(*) AS n FROM symbols JOIN files USING (file_id) GROUP BY ALL")
+def count_symbols_by_repo(spark, sf_dir):
+    return metrics.count_by(relations.symbols_with_files(graph(spark, sf_dir)), "repo_id", "kind")
+
+
+@query(REACH.format(busy=BUSY.format("source_id"), a="source_id", b="target_id", d=5) + "SELECT depth, count(*) AS n FROM m JOIN symbols AS s ON s.symbol_id = m.id GROUP BY depth")
+def transitive_depth_histogram(spark, sf_dir):
+    return metrics.count_by(transitive_callees_d5(spark, sf_dir), "depth")
+
+
+@query("""WITH t(node_id, level) AS (SELECT node_id, 0 FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, t.level + 1 FROM t JOIN nodes AS n ON n.parent_id = t.node_id)
+  SELECT DISTINCT nodes.node_id, t.level AS depth FROM nodes LEFT JOIN t USING (node_id)""")
+def ast_topological(spark, sf_dir):
+    return reach.topological(graph(spark, sf_dir).nodes.dropDuplicates(["node_id"])).select("node_id", "depth")
+
+
+@query("SELECT repo_id, CASE WHEN repo_id % 2 = 0 THEN 'renamed' ELSE name END AS name, url, branch FROM repos UNION ALL SELECT repo_id + 100, name, url, branch FROM repos")
+def upsert_repositories(spark, sf_dir):
+    r = graph(spark, sf_dir).repos
+    more = r.where("repo_id % 2 = 0").withColumn("name", F.lit("renamed")).union(r.withColumn("repo_id", F.col("repo_id") + 100))
+    return mutations.upsert(r, more, ["repo_id"])
+
+
+EDGE_IDENT = "source_id || '-' || coalesce(target_id::VARCHAR, '') || '-' || edge_type || '-' || coalesce(target_module, '')"
+
+
+@query(f"SELECT {EDGE_IDENT} AS edge_id, source_id, target_id, edge_type, CASE WHEN source_id % 7 = 0 THEN 'new' ELSE target_module END AS target_module FROM edges")
+def upsert_edges(spark, sf_dir):
+    ident = F.concat_ws("-", F.col("source_id").cast("string"), F.coalesce(F.col("target_id").cast("string"), F.lit("")), "edge_type", F.coalesce("target_module", F.lit("")))
+    e = graph(spark, sf_dir).edges.select(ident.alias("edge_id"), "*")
+    new = e.where("source_id % 7 = 0").withColumns({"source_id": F.col("source_id") + 1, "target_module": F.lit("new")})
+    return mutations.upsert(e, new, ["edge_id"], keep=mutations.KEPT["edges"])
+
+
+@query("SELECT symbol_id, name, CASE WHEN symbol_id % 13 <> 0 THEN docstring END AS docstring FROM symbols")
+def update_to_null(spark, sf_dir):
+    s = graph(spark, sf_dir).symbols.select("symbol_id", "name", "docstring")
+    return mutations.update(s, s.where("symbol_id % 13 = 0").select("symbol_id", F.lit(None).cast("string").alias("docstring")), ["symbol_id"], nulls=True)
+
+
+@query("""SELECT file_id, CASE WHEN file_id % 20 = 0 THEN checksum || 'x' ELSE checksum END AS checksum, (SELECT count(*) FROM symbols AS s WHERE s.file_id = f.file_id AND f.file_id % 20 <> 0) AS n FROM files AS f""")
+def replace_changed_files(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    left = mutations.replace_files(g, g.files.where("file_id % 10 = 0").withColumn("checksum", F.when(F.col("file_id") % 20 == 0, F.concat("checksum", F.lit("x"))).otherwise(F.col("checksum"))))
+    n = left.symbols.groupBy("file_id").agg(F.count("*").alias("n"))
+    return left.files.select("file_id", "checksum").join(n, "file_id", "left").select("file_id", "checksum", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("""WITH d AS (SELECT f.file_id AS dep_id, f.path, CASE WHEN f.file_id % 3 <> 0 THEN f.file_id END AS s, CASE WHEN f.file_id % 4 = 0 THEN 'ext/lib' || (f.file_id % 20) ELSE n.path END AS module FROM files AS f LEFT JOIN files AS n ON n.file_id = f.file_id + 1),
+  m AS (SELECT split_part(path, '/', -1) AS base, min(symbol_id) AS id FROM symbols JOIN files USING (file_id) GROUP BY 1)
+  SELECT dep_id, symbols.symbol_id AS source_id, m.id AS target_id, 'import' AS edge_type, d.path AS source_file, module AS target_module FROM d LEFT JOIN symbols ON symbols.symbol_id = d.s LEFT JOIN m ON m.base = split_part(module, '/', -1)""")
+def resolve_edges_import(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    deps = _import_deps(g)
+    s = g.symbols.select("symbol_id", "name", "file_id").join(g.files.select("file_id", "path"), "file_id").select("symbol_id", "name", "path")
+    return resolution.resolve(deps, s, deps.select("file_id", F.col("target_module").alias("module"))).select("dep_id", "source_id", "target_id", "edge_type", "source_file", "target_module")
+
+
+def _import_deps(g) -> DataFrame:
+    """Every file imports the next one, every fourth an external module; every third has no symbol of its own to start at."""
+    i = F.col("file_id")
+    after = g.files.select((i - 1).alias("file_id"), F.col("path").alias("next"))
+    module = F.when(i % 4 == 0, F.concat(F.lit("ext/lib"), (i % 20).cast("string"))).otherwise(F.col("next"))
+    source = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("sym"), i.cast("string")))
+    return g.files.join(after, "file_id", "left").select(i.alias("dep_id"), "file_id", "path", F.lit("import").alias("type"), source.alias("source"), module.alias("target"), module.alias("target_module"), (i % 4 == 0).alias("is_external"))
+
+
+@query(f"SELECT {UUID_SQL.format('external:', 'name')} AS symbol_id, '__external__' AS file_path, name, 'external' AS kind FROM (SELECT DISTINCT 'ext/lib' || (file_id % 20) AS name FROM files WHERE file_id % 4 = 0)")
+def external_symbols(spark, sf_dir):
+    return resolution.external_symbols(_import_deps(graph(spark, sf_dir)))
+
+
+@query("""SELECT a.symbol_id AS dep_id, a.symbol_id AS source_id, b.symbol_id AS target_id, 'call' AS edge_type, path AS source_file FROM symbols AS a JOIN symbols AS b ON b.file_id = a.file_id AND b.symbol_id = a.symbol_id + 20 JOIN files ON files.file_id = a.file_id""")
+def resolve_in_files(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    s = g.symbols.select("symbol_id", "name", "file_id").join(g.files.select("file_id", "path"), "file_id")
+    deps = s.select(F.col("symbol_id").alias("dep_id"), "path", F.lit("call").alias("type"), F.col("name").alias("source"), F.concat(F.lit("sym"), (F.col("symbol_id") + 20).cast("string")).alias("target"))
+    return resolution.resolve_in_files(deps, s)
+
+
+@query("""SELECT edge_type, count(*) AS n FROM (SELECT CASE p_type[1] WHEN 'S' THEN 'call' WHEN 'M' THEN 'extends' WHEN 'L' THEN 'import' ELSE 'reference' END AS edge_type FROM part) GROUP BY edge_type""", plain=True)
+def edge_mapping(spark, sf_dir):
+    first = F.substring("p_type", 1, 1)
+    raw = F.when(first == "S", "call").when(first == "M", "extends").when(first == "L", "import").when(first == "E", "annotated_with").otherwise("conforms")
+    return metrics.count_by(table(spark, sf_dir, "part").select(resolution.map_edge(raw).alias("edge_type")), "edge_type")
+
+
+@query("""WITH s AS (SELECT symbol_id, file_id, path, 'n' || (symbol_id % 800) AS name FROM symbols JOIN files USING (file_id)),
+  r AS (SELECT f.file_id AS query_id, s.name, s.symbol_id, row_number() OVER (PARTITION BY f.file_id ORDER BY CASE WHEN s.path = f.path THEN 0 ELSE 1 END, s.symbol_id) AS n FROM files AS f JOIN s ON s.name = 'n' || (f.file_id % 800))
+  SELECT query_id, name, symbol_id FROM r WHERE n = 1""")
+def truth_ids(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    named = g.symbols.withColumn("name", F.concat(F.lit("n"), (F.col("symbol_id") % 800).cast("string")))
+    truth = g.files.select(F.col("file_id").alias("query_id"), F.concat(F.lit("n"), (F.col("file_id") % 800).cast("string")).alias("name"), F.array("path").alias("files"))
+    return metrics.truth_ids(truth, replace(g, symbols=named))
+
+
+@query("""WITH s AS (SELECT symbol_id, CASE WHEN symbol_id % 83 = 0 THEN '' ELSE name END AS name, CASE WHEN symbol_id % 61 = 0 THEN 'bad' ELSE kind END AS kind, file_id FROM symbols)
+  SELECT 'required_field' AS type, 'symbol' AS entity_type, symbol_id::VARCHAR AS entity_id, 'name' AS field, name AS value FROM s WHERE name = ''
+  UNION ALL SELECT 'invalid_value', 'symbol', symbol_id::VARCHAR, 'kind', kind FROM s WHERE kind = 'bad'
+  UNION ALL SELECT 'missing_reference', 'symbol', symbol_id::VARCHAR, 'file_id', file_id::VARCHAR FROM s WHERE file_id NOT IN (SELECT file_id FROM files WHERE file_id % 70 <> 0)""")
+def validate_symbols(spark, sf_dir):
+    g, i = graph(spark, sf_dir), F.col("symbol_id")
+    s = g.symbols.withColumns({"name": F.when(i % 83 == 0, "").otherwise(F.col("name")), "kind": F.when(i % 61 == 0, "bad").otherwise(F.col("kind"))})
+    return validation.symbols(s, g.files.where("file_id % 70 <> 0")).drop("message")
+
+
+@query("""WITH n AS (SELECT node_id, file_id, CASE WHEN file_id % 40 = 0 THEN '' ELSE type END AS type, CASE WHEN file_id % 30 = 1 AND parent_id IS NOT NULL THEN 'gone' ELSE parent_id END AS parent_id FROM nodes)
+  SELECT 'required_field' AS type, 'node' AS entity_type, node_id AS entity_id, 'type' AS field, type AS value FROM n WHERE coalesce(type, '') = ''
+  UNION ALL SELECT 'missing_reference', 'node', node_id, 'parent_id', parent_id FROM n WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT node_id FROM n)
+  UNION ALL SELECT 'missing_reference', 'node', node_id, 'file_id', file_id::VARCHAR FROM n WHERE file_id % 50 = 2
+  UNION ALL SELECT 'duplicate_id', 'node', node_id, 'node_id', node_id FROM n GROUP BY node_id HAVING count(*) > 1""")
+def validate_nodes(spark, sf_dir):
+    nodes, i = graph(spark, sf_dir).nodes, F.col("file_id")
+    bad = nodes.withColumns({"type": F.when(i % 40 == 0, "").otherwise(F.col("type")), "parent_id": F.when((i % 30 == 1) & F.col("parent_id").isNotNull(), "gone").otherwise(F.col("parent_id"))})
+    return validation.nodes(bad, nodes.select("file_id").where(i % 50 != 2)).drop("message")
+
+
+@query("""WITH m AS (SELECT CASE WHEN repo_id = 0 THEN '' ELSE '1.0' END AS version, repo_id * 2 AS total, CASE WHEN repo_id = 3 THEN -1 ELSE repo_id END AS failed, repo_id AS good FROM repos)
+  SELECT 'required_field' AS type, 'metadata' AS entity_type, 'metadata' AS entity_id, 'version' AS field, version AS value FROM m WHERE version = ''
+  UNION ALL SELECT 'invalid_value', 'metadata', 'metadata', 'failure_count', failed::VARCHAR FROM m WHERE failed < 0
+  UNION ALL SELECT 'mismatch', 'metadata', 'metadata', 'total_files', total::VARCHAR FROM m WHERE good + failed <> total""")
+def validate_metadata(spark, sf_dir):
+    i = F.col("repo_id")
+    m = graph(spark, sf_dir).repos.select(F.when(i == 0, "").otherwise("1.0").alias("version"), (i * 2).alias("total_files"), i.alias("success_count"), F.when(i == 3, -1).otherwise(i).alias("failure_count"))
+    return validation.metadata(m).drop("message")
+
+
+@query("""SELECT type, count(*) AS n FROM (SELECT 'invalid_span' AS type FROM symbols WHERE symbol_id % 211 = 0) GROUP BY type""")
+def errors_by_type(spark, sf_dir):
+    return metrics.errors_by_type(validate_spans(spark, sf_dir))
+
+
+def _parsed(spark: SparkSession, sf_dir: str, language_: str, ext: str, text: str) -> DataFrame:
+    """What the parser finds in one file for each part, the part's key in place of @: (p_partkey, what, kind, name)."""
+    key = F.col("p_partkey").cast("string")
+    src = table(spark, sf_dir, "part").select(F.concat(F.lit("d/"), key, F.lit(ext)).alias("path"), F.lit(language_).alias("language"), F.replace(F.lit(text), F.lit("@"), key).cast("binary").alias("content"))
+    found = parsers.parse(src).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), "symbols", "dependencies")
+    one = found.select("p_partkey", F.explode("symbols").alias("s")).select("p_partkey", F.lit("symbol").alias("what"), F.col("s.raw_kind").alias("kind"), F.col("s.name").alias("name"))
+    return one.union(found.select("p_partkey", F.explode("dependencies").alias("d")).select("p_partkey", F.lit("edge"), "d.type", "d.target"))
+
+
+def _expected(*rows: tuple[str, str, str]) -> str:
+    values = ", ".join(f"('{what}', '{kind}', '{name}')" for what, kind, name in rows)
+    return f"SELECT p_partkey, what, kind, replace(name, '@', p_partkey::VARCHAR) AS name FROM part CROSS JOIN (VALUES {values}) AS t(what, kind, name)"
+
+
+@query(_expected(("symbol", "class", "C@"), ("symbol", "method", "m@"), ("symbol", "function", "f@"), ("edge", "import", "os"), ("edge", "extends", "B@"), ("edge", "call", "g@"), ("edge", "call", "h@")), plain=True)
+def parse_python(spark, sf_dir):
+    return _parsed(spark, sf_dir, "Python", ".py", "import os\nclass C@(B@):\n    def m@(self):\n        return g@()\ndef f@(a):\n    return h@(a)\n")
+
+
+@query(_expected(("symbol", "package", "p@"), ("symbol", "struct", "S@"), ("symbol", "function", "F@"), ("symbol", "method", "M@"), ("edge", "import", "fmt"), ("edge", "call", "G@"), ("edge", "call", "H@")), plain=True)
+def parse_go(spark, sf_dir):
+    return _parsed(spark, sf_dir, "Go", ".go", 'package p@\n\nimport "fmt"\n\ntype S@ struct {\n\ta int\n}\n\nfunc F@() {\n\tG@()\n}\n\nfunc (s *S@) M@() {\n\tH@()\n}\n')
+
+
+@query(_expected(("symbol", "package", "a.p@"), ("symbol", "class", "C@"), ("symbol", "method", "m@"), ("edge", "import", "java.util.List"), ("edge", "extends", "B@"), ("edge", "implements", "I@"), ("edge", "call", "n@")), plain=True)
+def parse_java(spark, sf_dir):
+    return _parsed(spark, sf_dir, "Java", ".java", "package a.p@;\nimport java.util.List;\npublic class C@ extends B@ implements I@ {\n  public int m@(int x) {\n    return n@(x);\n  }\n}\n")
+
+
+@query(_expected(("symbol", "function", "f@"), ("symbol", "static_function", "s@"), ("edge", "import", "stdio.h"), ("edge", "call", "s@"), ("edge", "call", "g@")), plain=True)
+def parse_c(spark, sf_dir):
+    return _parsed(spark, sf_dir, "C", ".c", "#include <stdio.h>\nstatic int s@(int a) {\n  return g@(a);\n}\nint f@(void) {\n  return s@(1);\n}\n")
