@@ -9,14 +9,17 @@ SIMILARITY or more are linked. Groups are the connected components of the links;
 Equal texts (lower case, words between ASCII white space) become one class first, so thousands of copies cost one candidate.
 In a bucket every class is held against PIVOTS pivots, which joins most of what belongs together. What is then still to be told
 are a bucket's members outside its main component (its others): a call holds a block of the others against a block of all
-members and gives back the links that join components, so a member is sent once, and an other once for each block. A bucket
-with more others than a block holds is parted by a further band that its members share, and so on to DEPTH bands; the copies
-of a member are then bounded by its bands, not by the bucket. What DEPTH bands do not part is held against each other in pairs
-of blocks, so nothing is left out there. A pair is compared in the first bands that it shares. Before an alignment pairs are
-left out only by their lengths and by how many shingles they share, which a pair at the bound cannot fail.
+members and gives back the links that join components, so a member is sent once, and an other once for each block. A pair is
+compared in the first band that it shares. Before an alignment pairs are left out only by their lengths and by how many
+shingles they share, which a pair at the bound cannot fail.
 
-Chance: a pair at the bound (a fifth of its shingles replaced) shares a sketch with 0.44, a band with 0.20, some band with
-0.999 and two with 0.992; the latter counts only in buckets of more than BLOCK others. Tests measure it by brute force.
+Buckets with more others than a block holds (wide buckets) are worked through in pairs of blocks, or their members are dealt by
+their rarest shingles, one more than the bound lets a text lose, whichever sends fewer bytes. Two texts at the bound have one
+of these shingles in common, and a pair that shares a band is held against each other in the rarest one it shares; so both ways
+give the same groups, and a bucket's size decides only how much is sent.
+
+Chance: a pair at the bound (a fifth of its shingles replaced) shares a sketch with 0.44, a band with 0.20 and some band with
+0.999. Tests measure it by brute force.
 
 Null texts are empty. Texts without words are one class and link with nothing else; texts of one to four words are one shingle
 each. A row without doc_id goes by a stand-in made from its text's hash. Rows that share a doc_id but not the text count each
@@ -25,8 +28,8 @@ as a document. An empty table gives an empty result; extra columns are left alon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache, reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +42,12 @@ from fernweave.llm.common import components, small_enough, stash, text_of, unsta
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, PICKS = 32, 2, 2
 SKETCHES = BANDS * ROWS
-#: Members of a bucket, by hash, that all are held against.
+#: Members of a bucket that all are held against: those of the least and the greatest hash, so that they differ.
 PIVOTS = 2
 #: Members and bytes of a block; a call holds two blocks of a bucket, or small buckets of about TOGETHER members and bytes.
 BLOCK, TOGETHER = (512, 8 << 20), (2000, 16 << 20)
-#: Bands by which a bucket is parted at most.
-DEPTH = 3
+#: Counters by which shingles are put in order of rarity; what shares a counter counts together.
+COUNTERS = 1 << 18
 #: Shingles of a block that are counted at once.
 COUNTED = 1_000_000
 
@@ -317,16 +320,29 @@ def parts(n: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, at[1:]))
 
 
-def joined(bands: int, depth: int, table: dict[str, np.ndarray], texts: list[bytes]) -> list[tuple[int, int]]:
-    """Of one call's rows of a bucket, that is of depth shared bands of which `bands` is the last: links (places of rows) between
-    the probing rows and the rows of the block that join different components, found in order of closeness."""
+def counters(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def rarest(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of a text's labelled shingles, rarest first: one more than it can lose at the bound, so that any two texts at
+    the bound have one of them in common. The order is the same for all texts, by counter and hash."""
+    most = int((1 - SIMILARITY) * len(h) + 1e-9)
+    return h[np.lexsort((h, counts[counters(h)]))[: most + 1]]
+
+
+def joined(bands: int, depth: int, table: dict[str, np.ndarray], texts: list[bytes], before_it: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Of one call's rows of a bucket: links (places of rows) between the probing rows and the rows of the block that join
+    different components, found in order of closeness. At depth 1 a bucket is one of the band after the first `bands`, and pairs
+    that share one of these are left to it; at depth 2 it is one of a shingle, for pairs that share one of the first `bands`
+    bands but none of the rarer shingles, which before_it gives from a text's labelled shingles."""
     a, b = np.flatnonzero(table["probe"]), np.flatnonzero(table["target"])
     g, n, keys, ids, other = (table[k] for k in ("g", "n", "keys", "b", "other"))
     near = (g[a][:, None] != g[b][None]) & (~other[b][None] | (ids[a][:, None] < ids[b][None]))  # two others meet twice
-    before = np.zeros(near.shape, np.int8)
-    for k in range(bands):  # pairs are compared in the first bands that they share
-        before += keys[a, k][:, None] == keys[b, k][None]
-    near &= before == depth - 1
+    met = np.zeros(near.shape, bool)
+    for k in range(bands):
+        met |= keys[a, k][:, None] == keys[b, k][None]
+    near &= ~met if depth == 1 else met
     longer = np.maximum(n[a][:, None], n[b][None])
     least = longer - ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)  # each shingle that is not shared is an edit
     near &= np.minimum(n[a][:, None], n[b][None]) >= least
@@ -335,6 +351,8 @@ def joined(bands: int, depth: int, table: dict[str, np.ndarray], texts: list[byt
     some, more = near.any(1), near.any(0)
     a, b = a[some], b[more]
     near, longer, least = (v[some][:, more] for v in (near, longer, least))
+    if before_it:
+        near &= shared_counts(*([before_it(shingles(texts[z])) for z in v] for v in (a, b))) == 0
     shared = np.zeros(near.shape, np.int32)
     for p, q in parts(n[a]):
         x = [shingles(texts[z]) for z in a[p:q]]
@@ -369,33 +387,61 @@ def keyed(key: Column, band: Column) -> Column:
     return key.bitwiseAND(F.lit(-BANDS).cast("long")).bitwiseOR(band.cast("long"))
 
 
-def mixed_buckets(level: DataFrame) -> DataFrame:
-    """Buckets of several components: key, main (their largest), blocks of all members, probes (blocks of the others)."""
+def mixed_buckets(level: DataFrame, compared: int) -> DataFrame:
+    """Buckets of several components: key, main (their largest), blocks of all members, probes (blocks of the others), sent (bytes
+    of texts sent for them). In buckets of up to `compared` members all pairs have been compared."""
     by_group = level.groupBy("key", "g").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
     found = by_group.groupBy("key").agg(F.max(F.struct("c", "g", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK[0]), F.ceil(s / BLOCK[1]), F.lit(1)).cast("int")
-    # of up to PIVOTS + 1 members all pairs have been compared
-    found = found.where((F.col("main.c") < F.col("c")) & (F.col("c") > PIVOTS + 1))
-    return stash(found.select("key", F.col("main.g").alias("main"), blocks(F.col("c"), F.col("s")).alias("blocks"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("probes")))
+    found = found.where((F.col("main.c") < F.col("c")) & (F.col("c") > compared))
+    found = found.withColumns({"blocks": blocks(F.col("c"), F.col("s")), "probes": blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s"))})
+    return stash(found.select("key", F.col("main.g").alias("main"), "blocks", "probes", (F.col("s") * F.col("probes") + (F.col("s") - F.col("main.s")) * F.col("blocks")).alias("sent")))
+
+
+def by_rarest(members: DataFrame, classes: DataFrame, df: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The members (b, g, size) once for each of their rarest shingles that others may have (key), and the counters that tell
+    which are rare among the members."""
+    texts = stash(texts_of(df, classes, members.select("b")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            counts += np.bincount(counters(np.concatenate([shingles(text.as_py()) for text in batch.column(0)])), minlength=COUNTERS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "c"])
+
+    found = texts.select("text").mapInArrow(count, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
+    counts = np.ones(COUNTERS, np.int64)
+    counts[found.column("at").to_numpy()] = found.column("c").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for text in batch.column(1):
+                h = rarest(shingles(text.as_py()), counts)
+                keys.append(h[counts[counters(h)] > 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["b", "keys"])
+
+    level = stash(members.join(texts.select("b", "text").mapInArrow(run, "b long, keys array<long>"), "b").select("b", "g", "size", F.explode("keys").alias("key")))
+    unstash(texts)
+    return level, counts
 
 
 def last_round(shared: DataFrame, groups: DataFrame, classes: DataFrame, df: DataFrame) -> DataFrame:
     """Links (a, b) between members of a bucket that are of different components so far."""
     level = stash(shared.join(groups.withColumnRenamed("node", "b"), "b", "left").select("b", F.coalesce("component", "b").alias("g"), "size", "key"))
-    dealt, used = [], []
-    for depth in range(1, DEPTH + 1):
-        mixed = mixed_buckets(level)
-        used += [level, mixed]
-        ready = mixed if depth == DEPTH else mixed.where("probes = 1")
-        dealt.append(level.join(ready, "key").withColumn("depth", F.lit(depth)))
-        wide = mixed.where("probes > 1")
-        if depth == DEPTH or wide.isEmpty():
-            break
-        band = F.col("key").bitwiseAND(F.lit(BANDS - 1))
-        parted = level.join(wide.select("key"), "key", "left_semi").join(classes.select(F.col("rep").alias("b"), "keys"), "b")
-        parted = parted.select("b", "g", "size", "key", F.posexplode("keys").alias("j", "k")).where(F.col("j") > band)
-        level = stash(parted.select("b", "g", "size", keyed(F.xxhash64("key", "k"), F.col("j")).alias("key")))
-    members = reduce(DataFrame.union, dealt).withColumn("other", F.col("g") != F.col("main"))
+    mixed = mixed_buckets(level, PIVOTS + 1)
+    members, used, counts = level.join(mixed, "key").withColumn("depth", F.lit(1)), [level, mixed], None
+    wide = mixed.where("probes > 1")
+    if not wide.isEmpty():
+        wide_members = stash(level.join(wide, "key", "left_semi").select("b", "g", "size").distinct())
+        finer, counts = by_rarest(wide_members, classes, df)
+        by_shingle = mixed_buckets(finer, 1)
+        used += [wide_members, finer, by_shingle]
+        in_blocks, by_rare = (x.agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0] for x in (wide, by_shingle))
+        if by_rare < in_blocks:
+            members = members.where("probes = 1").union(finer.join(by_shingle, "key").withColumn("depth", F.lit(2)))
+    members = members.drop("sent").withColumn("other", F.col("g") != F.col("main"))
     m, p = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("b", F.lit(1)), F.col("probes")).cast("int")
     members = stash(members.withColumns({"m": m, "p": p}))
     total = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -411,6 +457,13 @@ def last_round(shared: DataFrame, groups: DataFrame, classes: DataFrame, df: Dat
         "call", "at.i", "at.j", "b", "key", "depth", "g", "other", (F.col("m") == F.col("at.i")).alias("target"), (F.col("other") & (F.col("p") == F.col("at.j"))).alias("probe"), "keys", "n", "text"
     )
 
+    def rarer(than: np.uint64) -> Callable[[np.ndarray], np.ndarray]:
+        def before_it(h: np.ndarray) -> np.ndarray:
+            h = rarest(h, counts)
+            return h[: np.flatnonzero(h == than)[0]]
+
+        return before_it
+
     def block(found: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
         found = found.sort_by([("key", "ascending"), ("b", "ascending")])
@@ -420,7 +473,8 @@ def last_round(shared: DataFrame, groups: DataFrame, classes: DataFrame, df: Dat
         at = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for x, y in zip(at, at[1:]):
             part = found.column("text").slice(x, y - x).to_pylist()
-            out += [(int(b[x + u]), int(b[x + w])) for u, w in joined(int(key[x]) & BANDS - 1, int(depth[x]), {k: v[x:y] for k, v in whole.items()}, part)]
+            how = (int(key[x]) & BANDS - 1, 1) if depth[x] == 1 else (BANDS, 2)
+            out += [(int(b[x + u]), int(b[x + w])) for u, w in joined(*how, {k: v[x:y] for k, v in whole.items()}, part, None if depth[x] == 1 else rarer(key[x : x + 1].view(np.uint64)[0]))]
         return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
     links = stash(rows.groupBy("call", "i", "j").applyInArrow(block, "a long, b long"))
@@ -436,7 +490,7 @@ def grouped(df: DataFrame) -> DataFrame:
     bands = bands.select("b", "ns", keyed(F.xxhash64("band", "k"), F.col("band")).alias("key"))
     low = bands.groupBy("key").agg(F.min("b").alias("first"), F.max("b").alias("last")).where("first < last").select("key")
     shared = stash(bands.join(low, "key").select("b", "key", F.shiftright("ns", 32).alias("n"), F.col("ns").bitwiseAND(F.lit((1 << 32) - 1)).alias("size")))
-    pivots = F.array_distinct(F.array(*(F.min_by(F.struct("b", "n"), F.xxhash64("b", F.lit(i))) for i in range(PIVOTS))))
+    pivots = F.array(*(by(F.struct("b", "n"), F.xxhash64("b")) for by in (F.min_by, F.max_by)))
     chosen = shared.groupBy("key").agg(pivots.alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.b").alias("a"), F.col("p.n").alias("na"))
     pairs = shared.join(chosen, "key").where(F.col("a") != F.col("b")).where(F.abs(F.col("na") - F.col("n")) <= F.floor(F.greatest("na", "n") * (1 - SIMILARITY) + 1e-9))
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -390,6 +390,51 @@ def test_minhash_parts_large_buckets(spark, monkeypatch, block):
     assert all(want[i] == want[out[i]] for i in range(120))  # no group that alignment does not give
 
 
+def one_bucket(monkeypatch, bucket):
+    """Texts share at most the first band, and that as bucket(doc_id) says."""
+    sketched = minhash.sketched
+    own = lambda k, i: F.when(i == 0, bucket(F.col("node"))).otherwise(F.xxhash64("node", i))
+    monkeypatch.setattr(minhash, "sketched", lambda df: sketched(df).withColumn("keys", F.transform("keys", own)))
+
+
+def slots(n):
+    """Texts of one form: ten places of five words each, filled with one of three words; the last ones are alike but for a word."""
+    chosen = np.random.default_rng(2).integers(0, 3, (n - 10, 10)).tolist()
+    texts = [" ".join(x for k, c in enumerate(of) for x in (f"f{k}", f"g{k}", f"h{k}", f"i{k}", f"v{k}x{c}")) for of in chosen]
+    texts += [f"{texts[-1]} e{i}" for i in range(10)]
+    return texts, {(i, j) for i in range(n) for j in range(i + 1, n) for d, m in [edits_by_force(texts[i], texts[j])] if d <= int(0.2 * m + 1e-9)}
+
+
+@pytest.mark.parametrize("block", [512, 20, 4])
+@pytest.mark.parametrize("made", ["family", "slots"])
+def test_minhash_result_does_not_depend_on_the_size_of_a_bucket(spark, monkeypatch, made, block):
+    """Texts that share one band only: the groups of alignment, whether the bucket is one block or many."""
+    monkeypatch.setattr(minhash, "BLOCK", (block, 1 << 20))
+    one_bucket(monkeypatch, lambda node: F.lit(7).cast("long"))
+    texts, near = near_family(120, 5, 9) if made == "family" else slots(70)
+    out = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(texts))] == groups_of(len(texts), near)
+
+
+def test_minhash_buckets_of_three(spark, monkeypatch):
+    """Two of three texts that share one band are near, whichever are the pivots."""
+    one_bucket(monkeypatch, lambda node: F.floor(node / 3))
+    w = lambda c: [f"{c}{k}" for k in range(20)]
+    texts = [" ".join(x) for i in range(60) for x in (w(f"a{i}x"), w(f"b{i}x"), [*w(f"b{i}x"), "z"])]
+    out = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(180)] == [i - (i % 3 == 2) for i in range(180)]
+
+
+def test_rarest_shingles_meet_at_the_bound():
+    """Of any two texts at the bound one of the rarest shingles is shared, whatever the counters hold."""
+    r = np.random.default_rng(6)
+    texts, near = near_family(120, 5, 9)
+    h = [minhash.shingles(t.encode()) for t in texts]
+    for counts in (np.ones(minhash.COUNTERS, np.int64), r.integers(1, 50, minhash.COUNTERS)):
+        rare = [set(minhash.rarest(x, counts).tolist()) for x in h]
+        assert near and all(rare[i] & rare[j] for i, j in near)
+
+
 def test_minhash_recall_at_the_bound(spark):
     """Isolated pairs with a fifth of their shingles replaced."""
     r = np.random.default_rng(8)
