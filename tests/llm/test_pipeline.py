@@ -68,3 +68,18 @@ def test_stages_on_odd_rows(spark):
             assert got == [] and cp.packing_stage(spark, some, DATA).count() == 0
     every = cp.quality_stage(spark, docs, DATA)
     assert every.columns == docs.columns and every.count() <= docs.count() and cp.quality_stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_near_stage_does_not_depend_on_the_size_of_a_bucket(spark, monkeypatch):
+    """Texts that share one band only, in one block and in many: one text of each group of alignment stays."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_operators import groups_of, near_family, one_bucket
+
+    one_bucket(monkeypatch, lambda node: F.lit(7).cast("long"))
+    texts, near = near_family(120, 5, 9)
+    docs = stash(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for block in (512, 20, 4):
+        monkeypatch.setattr(minhash, "BLOCK", (block, 1 << 20))
+        stay = cp.near_stage(spark, docs, DATA)
+        assert sorted(r.doc_id for r in stay.collect()) == sorted(set(groups_of(120, near)))
