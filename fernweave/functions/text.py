@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(split_identifier(F.coalesce(c, F.lit("")))), " "), lambda t: t != "")
 
 
+_JOINTS = re.compile(rb"([a-z0-9])([A-Z])"), re.compile(rb"([A-Z]+)([A-Z][a-z])")
+_PLAIN = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
+
+
+def byte_tokens(content: bytes) -> list[bytes]:
+    """The tokens of a text in UTF-8, as `tokens` has them."""
+    for joint in _JOINTS:
+        content = joint.sub(rb"\1 \2", content)
+    return content.translate(_PLAIN).split()
+
+
 def uuid5(c: Column) -> Column:
     """Version 5 UUID of a name in the DNS namespace."""
     h = F.sha1(F.concat(F.unhex(F.lit(DNS)), F.encode(c, "UTF-8")))
