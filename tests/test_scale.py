@@ -52,3 +52,19 @@ def test_similarity_meets_in_blocks(spark, small_blocks, limit):
         got.setdefault(r["query_id"], []).append(r["entity_id"])
     assert got == cosine_ranks(x, y, limit)
     assert "Join" not in plan(found)  # no product of rows
+
+
+def test_similarity_filtered_in_blocks(spark, small_blocks):
+    rng = np.random.default_rng(4)
+    x = {i: rng.normal(size=4).astype("float32").astype(float) for i in range(90)}
+    symbols = [(i, i % 6, f"s{i}", "class" if i % 2 else "module", "", 1, 2) for i in range(90) if i != 8]
+    files = [(i, i % 3, f"f{i}", "go") for i in range(5)]
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 90, 9)], "query_id long, embedding array<float>")
+    f = retrieval.Filters(entity_types=["symbol"], model="m", min_similarity=0.3, kinds=["class"], repo_ids=[0, 1])
+    found = retrieval.similarity_search(vectors_graph(spark, [(i, a.tolist(), "") for i, a in x.items()], symbols, files), q, 4, f)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["entity_id"])
+    kept = {i: a for i, a in x.items() if i % 2 and i % 6 < 5 and i % 6 % 3 < 2}
+    assert got == cosine_ranks(kept, {i: x[i] for i in range(0, 90, 9)}, 4, 0.3)
+    assert "Join" not in plan(found)
