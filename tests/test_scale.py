@@ -68,3 +68,22 @@ def test_similarity_filtered_in_blocks(spark, small_blocks):
     kept = {i: a for i, a in x.items() if i % 2 and i % 6 < 5 and i % 6 % 3 < 2}
     assert got == cosine_ranks(kept, {i: x[i] for i in range(0, 90, 9)}, 4, 0.3)
     assert "Join" not in plan(found)
+
+
+def test_keyword_scores_that_tie_go_by_id(spark, small_blocks):
+    # 2/3 + 2/3 and 1/2 + 5/6 are one number, but not as sums of doubles
+    rows = [(1, [1.0], "a a b b c c"), (2, [1.0], "a b b b b b"), (3, [1.0], "b b a a x y"), (4, [1.0], "a c")] + [(i, [1.0], "c d e") for i in range(10, 60)]
+    assert 2 / 3 + 2 / 3 < 1 / 2 + 5 / 6
+    q = spark.createDataFrame([(1, "b A"), (2, "aB..b"), (3, "none of it"), (4, ""), (5, None)], "query_id long, text string")
+    found = retrieval.keyword_search(vectors_graph(spark, rows), q, 3)
+    assert [(r.query_id, r.entity_id, r["rank"]) for r in found.orderBy("query_id", "rank").collect()] == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 1), (2, 2, 2), (2, 3, 3)][:6]
+    assert len({round(r.score, 12) for r in found.where("query_id = 1").collect()}) == 1
+
+
+def test_tokens_of_bytes(spark):
+    from fernweave.functions.text import byte_tokens, tokens
+
+    rng = np.random.default_rng(5)
+    texts = ["", "HTTPServer_getID42x", "éÉa中B", "a\x00B\tcİD"] + ["".join(rng.choice(list("aZbY09 _-é\n"), 30)) for _ in range(200)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("w")).collect()
+    assert all([w.decode() for w in byte_tokens(r["t"].encode())] == r["w"] for r in got)
