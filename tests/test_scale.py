@@ -87,3 +87,29 @@ def test_tokens_of_bytes(spark):
     texts = ["", "HTTPServer_getID42x", "éÉa中B", "a\x00B\tcİD"] + ["".join(rng.choice(list("aZbY09 _-é\n"), 30)) for _ in range(200)]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("w")).collect()
     assert all([w.decode() for w in byte_tokens(r["t"].encode())] == r["w"] for r in got)
+
+
+def test_hybrid_scores_that_tie_go_by_id(spark):
+    arm = lambda rows: spark.createDataFrame(rows, "query_id long, entity_id long, score double")
+    # entity 3 gets 0.7 by one arm, entity 2 the same by sums in another order
+    found = retrieval.fuse(arm([(1, 9, 1.0), (1, 2, 0.7), (1, 3, 0.4)]), arm([(1, 8, 1.0), (1, 2, 0.0), (1, 3, 0.7)]), 10)
+    score = {r.entity_id: r.score for r in found.collect()}
+    assert score[2] != score[3] and abs(score[2] - score[3]) < 1e-12
+    assert [r.entity_id for r in found.orderBy("rank").collect()] == [9, 2, 3, 8]
+
+
+def test_texts_of_questions_are_made_once(spark, tmp_path):
+    """A filter on a question's text must not reach the scan of the table that the text is made of."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        made.add(1)
+        return t
+
+    rows = [(i, [float(i), 1.0], f"w{i % 3} x") for i in range(1, 41)]
+    g = vectors_graph(spark, rows)
+    g.vectors.write.parquet(str(tmp_path / "v"))
+    q = spark.read.parquet(str(tmp_path / "v")).where("entity_id % 10 = 0").select(F.col("entity_id").alias("query_id"), "embedding", text("content").alias("text"))
+    assert retrieval.hybrid_search(g, q, 5).count() == 20
+    assert made.value == 4
