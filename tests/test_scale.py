@@ -113,3 +113,13 @@ def test_texts_of_questions_are_made_once(spark, tmp_path):
     q = spark.read.parquet(str(tmp_path / "v")).where("entity_id % 10 = 0").select(F.col("entity_id").alias("query_id"), "embedding", text("content").alias("text"))
     assert retrieval.hybrid_search(g, q, 5).count() == 20
     assert made.value == 4
+
+
+def test_ask_meets_in_blocks(spark, small_blocks):
+    rows = [(i, [float(i), 1.0], f"w{i % 3} x") for i in range(1, 61)]
+    symbols = [(i, 1, f"s{i}", "class", "", 1, 2) for i in range(1, 61)]
+    g = vectors_graph(spark, rows, symbols, [(1, 1, "f", "go")])
+    q = spark.createDataFrame([(i, [float(i), 1.0], "w1 x") for i in range(10, 61, 10)] + [(99, [1.0, 1.0], " ")], "query_id long, embedding array<float>, text string")
+    found = retrieval.ask(g, q, retrieval.Config(limit=3))
+    assert {r.query_id: r.blocks for r in found.collect()} == {i: 3 for i in range(10, 61, 10)}
+    assert "Join Inner\n" not in plan(found) and "Cross" not in plan(found)
