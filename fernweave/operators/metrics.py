@@ -94,17 +94,34 @@ def edge_match(extracted: DataFrame, truth: DataFrame) -> DataFrame:
     return hit.select(F.lit("edge_recall").alias("metric"), "value").union(right.select(F.lit("edge_precision"), "value"))
 
 
-def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """(mode, query_id, recall, mrr). results: mode, query_id, rank, name; relevant: query_id, name. Names count once."""
-    first = results.where(F.col("rank") <= k).groupBy("mode", "query_id", "name").agg(F.min("rank").alias("rank"))
-    size = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("wanted"))
-    hits = first.join(relevant.distinct(), ["query_id", "name"]).groupBy("mode", "query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
+def _first(results: DataFrame, k: int) -> DataFrame:
+    return results.where(F.col("rank") <= k).groupBy("mode", "query_id", "name").agg(F.min("rank").alias("rank"))
+
+
+def _retrieval(results: DataFrame, hits: DataFrame, size: DataFrame) -> DataFrame:
+    hits = hits.groupBy("mode", "query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
     asked = results.select("mode", "query_id").distinct().join(size, "query_id")
     return asked.join(hits, ["mode", "query_id"], "left").select(
         "mode", "query_id", (F.coalesce("hits", F.lit(0)).cast("double") / F.col("wanted")).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr")
     )
 
 
+def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """(mode, query_id, recall, mrr). results: mode, query_id, rank, name; relevant: query_id, name. Names count once."""
+    size = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("wanted"))
+    return _retrieval(results, _first(results, k).join(relevant.distinct(), ["query_id", "name"]), size)
+
+
+def labelled_metrics(results: DataFrame, questions: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """retrieval_metrics where the names of a question's label are relevant, without a row for each question and such name.
+
+    questions: query_id, label; items: name, label; one label each.
+    """
+    questions, items = questions.select("query_id", "label").distinct(), items.select("name", "label").distinct()
+    size = questions.join(items.groupBy("label").agg(F.count("*").alias("wanted")), "label").select("query_id", "wanted")
+    return _retrieval(results, _first(results, k).join(questions, "query_id").join(items, ["name", "label"]), size)
+
+
 def neighbor_hits(neighbours: DataFrame, relevant: DataFrame) -> DataFrame:
     """Share of the queries with neighbours (query_id, name) of which one at least is relevant."""
     hit = neighbours.join(relevant.distinct(), ["query_id", "name"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1))

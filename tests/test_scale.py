@@ -123,3 +123,21 @@ def test_ask_meets_in_blocks(spark, small_blocks):
     found = retrieval.ask(g, q, retrieval.Config(limit=3))
     assert {r.query_id: r.blocks for r in found.collect()} == {i: 3 for i in range(10, 61, 10)}
     assert "Join Inner\n" not in plan(found) and "Cross" not in plan(found)
+
+
+def test_recall_by_label_makes_no_pairs(spark):
+    rng = np.random.default_rng(6)
+    items = spark.createDataFrame([(str(i), int(rng.integers(4))) for i in range(80)] + [("3", None)], "name string, label int").dropDuplicates(["name"])
+    q = items.where("cast(name AS int) % 10 = 0").select(F.col("name").cast("long").alias("query_id"), "label")
+    found = spark.createDataFrame([(m, int(i), r, str(rng.integers(80))) for m in "ab" for i in range(0, 80, 10) for r in range(1, 13)], "mode string, query_id long, rank int, name string")
+    relevant = q.join(items, "label").select("query_id", "name")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = metrics.labelled_metrics(found, q, items)
+    assert rows(got) == rows(metrics.retrieval_metrics(found, relevant))
+
+
+def test_modes_are_measured_by_label(spark, monkeypatch):
+    from fernweave.plans import queries
+
+    monkeypatch.setattr(metrics, "retrieval_metrics", None)  # asks for a row for each question and relevant name
+    assert queries.mode_compare(spark, "/root/testdata/sf0.001").count() == 3
