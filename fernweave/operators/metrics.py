@@ -151,10 +151,18 @@ def summary(gated: DataFrame) -> DataFrame:
 
 
 def truth_ids(truth: DataFrame, graph: Graph) -> DataFrame:
-    """truth(query_id, name, files array) with the symbol of that name: one in the files first, then the smallest id."""
+    """truth(query_id, name, files array) with the symbol of that name: one in the files first, then the smallest id.
+
+    Two lookups of one row each, so a name that many symbols share makes no product.
+    """
     s = graph.symbols.select("symbol_id", "name", "file_id").join(graph.files.select("file_id", "path"), "file_id", "left")
-    order = Window.partitionBy("query_id", "name").orderBy(F.when(F.array_contains("files", F.col("path")), 0).otherwise(1), "symbol_id")
-    return truth.join(s, "name").withColumn("n", F.row_number().over(order)).where("n = 1").select("query_id", "name", "symbol_id")
+    near = s.where("path IS NOT NULL").groupBy("name", "path").agg(F.min("symbol_id").alias("near"))
+    near = truth.select("query_id", "name", F.explode("files").alias("path")).distinct().join(near, ["name", "path"]).groupBy("query_id", "name").agg(F.min("near").alias("near"))
+    far = graph.symbols.groupBy("name").agg(F.min("symbol_id").alias("far"))
+    both = truth.select("query_id", "name").distinct().join(far, "name")
+    key = F.struct("query_id", "name")  # a null query_id is a question like any other
+    both = both.withColumn("__k", key).join(near.select(key.alias("__k"), "near"), "__k", "left")
+    return both.select("query_id", "name", F.coalesce("near", "far").alias("symbol_id"))
 
 
 def errors_by_type(errors: DataFrame) -> DataFrame:

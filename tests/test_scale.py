@@ -141,3 +141,20 @@ def test_modes_are_measured_by_label(spark, monkeypatch):
 
     monkeypatch.setattr(metrics, "retrieval_metrics", None)  # asks for a row for each question and relevant name
     assert queries.mode_compare(spark, "/root/testdata/sf0.001").count() == 3
+
+
+def test_truth_ids_without_product(spark):
+    symbols = [(i, i % 7, f"n{i % 4}", "class", "", 1, 2) for i in range(60)]
+    files = [(i, 1, f"f{i % 5}", "go") for i in range(6)]  # two with one path, one symbol's file is missing
+    g = vectors_graph(spark, [], symbols, files)
+    truth = [(1, "n1", ["f3", "f4"]), (2, "n1", ["zz"]), (3, "n2", None), (4, "n2", []), (5, "none", ["f1"]), (6, "n3", [None, "f0"]), (6, "n3", ["f1"]), (None, "n0", ["f2"])]
+    found = metrics.truth_ids(spark.createDataFrame(truth, "query_id long, name string, files array<string>"), g)
+    path = {i: p for i, _, p, _ in files}
+    want = {}
+    for q, n, where in truth:
+        for i, f, name, *_ in symbols:
+            if name == n:
+                key = (path.get(f) is None or path[f] not in (where or []), i)
+                want[q, n] = min(want.get((q, n), key), key)
+    assert {(r.query_id, r.name): r.symbol_id for r in found.collect()} == {k: i for k, (_, i) in want.items()}
+    assert "Window" not in plan(found)
