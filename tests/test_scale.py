@@ -158,3 +158,19 @@ def test_truth_ids_without_product(spark):
                 want[q, n] = min(want.get((q, n), key), key)
     assert {(r.query_id, r.name): r.symbol_id for r in found.collect()} == {k: i for k, (_, i) in want.items()}
     assert "Window" not in plan(found)
+
+
+def test_pairs_are_connected_without_walks_from_each(spark, monkeypatch):
+    monkeypatch.setattr(reach, "hops", None)  # enumerates what every start reaches
+    monkeypatch.setattr(reach, "FEW", 60)
+    rng = np.random.default_rng(7)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 40, (46, 2))} | {(50, 51), (51, 52), (52, 50), (52, 53)}
+    seen = {a: {a} for a in range(60)}
+    for _ in range(60):
+        for a, b in edges:
+            for reached in seen.values():
+                if a in reached:
+                    reached.add(b)
+    pairs = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 60, (80, 2)))] + [(100, 50, 53), (101, 53, 50), (102, 59, 59), (103, 53, 50), (103, 50, 52)]
+    found = reach.connected(spark.createDataFrame(sorted(edges), "a long, b long"), spark.createDataFrame(pairs, "chain_id long, a long, b long"))
+    assert sorted(r[0] for r in found.collect()) == sorted({i for i, a, b in pairs if b in seen[a]})
