@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernweave.operators.relations import left_on_target
 from fernweave.plans.schema import Graph
 
 
@@ -49,8 +50,8 @@ def edge_counts(graph: Graph) -> DataFrame:
     """By repository and type: all edges, dangling ones and ones between files, in one pass."""
     owner = graph.symbols.select("symbol_id", "file_id").join(graph.files.select("file_id", "repo_id"), "file_id")
     s = owner.select(F.col("symbol_id").alias("source_id"), "repo_id", F.col("file_id").alias("source_file"))
-    t = graph.symbols.select(F.col("symbol_id").alias("target_id"), F.col("file_id").alias("target_file"))
-    joined = graph.edges.select("source_id", "target_id", "edge_type").join(s, "source_id").join(t, "target_id", "left")
+    t = graph.symbols.select(F.col("symbol_id").alias("__t"), F.col("file_id").alias("target_file"))
+    joined = left_on_target(graph.edges.select("source_id", "target_id", "edge_type").join(s, "source_id"), t, "__t")
     return joined.groupBy("repo_id", "edge_type").agg(
         F.count("*").alias("edges"), F.count_if(F.col("target_id").isNull()).alias("dangling"), F.count_if(F.col("source_file") != F.col("target_file")).alias("cross_file")
     )

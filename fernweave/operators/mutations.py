@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernweave.operators.relations import left_on_target
 from fernweave.plans.schema import KEYS, SCHEMAS, Graph
 
 
@@ -64,7 +65,7 @@ def delete_symbols(graph: Graph, gone: DataFrame) -> Graph:
     """Symbols by symbol_id: their outgoing edges go, incoming edges stay and lose their target."""
     ids = gone.select("symbol_id").distinct()
     edges = graph.edges.join(ids.withColumnRenamed("symbol_id", "source_id"), "source_id", "left_anti")
-    hit = edges.join(ids.select(F.col("symbol_id").alias("__t")), F.col("target_id") == F.col("__t"), "left")
+    hit = left_on_target(edges, ids.select(F.col("symbol_id").alias("__t")), "__t")
     edges = hit.withColumn("target_id", F.when(F.col("__t").isNull(), F.col("target_id"))).select(*graph.edges.columns)
     return Graph(graph.repos, graph.files, delete(graph.symbols, ids, ["symbol_id"]), edges, graph.nodes, graph.vectors)
 

@@ -14,6 +14,13 @@ IMPLEMENTATIONS = [".c", ".cpp", ".cc", ".cxx", ".m", ".mm"]
 INTERNAL = ["import", "extends", "implements", "reference"]
 
 
+def left_on_target(edges: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join of edges with other by target_id = key. Edges without a target go by their source: by target all would meet in
+    one task."""
+    edges = edges.withColumns({"__there": F.col("target_id").isNotNull(), "__at": F.coalesce("target_id", "source_id")})
+    return edges.join(other.select("*", F.lit(True).alias("__there"), F.col(key).alias("__at")), ["__there", "__at"], "left").drop("__there", "__at")
+
+
 def _detailed(graph: Graph, edges: DataFrame, end: str) -> DataFrame:
     """Edges with name, kind and path of the symbol at `end`; edges without it drop out."""
     s = graph.symbols.select(F.col("symbol_id").alias(end), "name", "kind", "signature", "start_line", "end_line", "file_id")
@@ -59,15 +66,15 @@ def symbols_with_files(graph: Graph) -> DataFrame:
 
 def edges_with_symbols(graph: Graph) -> DataFrame:
     s = graph.symbols.select(F.col("symbol_id").alias("source_id"), F.col("name").alias("source_name"), F.col("kind").alias("source_kind"))
-    t = graph.symbols.select(F.col("symbol_id").alias("target_id"), F.col("name").alias("target_name"), F.col("kind").alias("target_kind"))
-    return graph.edges.join(s, "source_id").join(t, "target_id", "left").select("source_id", "target_id", "edge_type", "target_module", "source_name", "source_kind", "target_name", "target_kind")
+    t = graph.symbols.select(F.col("symbol_id").alias("__t"), F.col("name").alias("target_name"), F.col("kind").alias("target_kind"))
+    return left_on_target(graph.edges.join(s, "source_id"), t, "__t").select("source_id", "target_id", "edge_type", "target_module", "source_name", "source_kind", "target_name", "target_kind")
 
 
 def extracted_edges(graph: Graph, repo_id: object) -> DataFrame:
     s = graph.symbols.select(F.col("symbol_id").alias("source_id"), F.col("name").alias("source_name"), "file_id")
     f = graph.files.where(F.col("repo_id") == repo_id).select("file_id")
-    t = graph.symbols.select(F.col("symbol_id").alias("target_id"), F.col("name").alias("target_name"))
-    joined = graph.edges.join(s.join(f, "file_id", "left_semi"), "source_id").join(t, "target_id", "left")
+    t = graph.symbols.select(F.col("symbol_id").alias("__t"), F.col("name").alias("target_name"))
+    joined = left_on_target(graph.edges.join(s.join(f, "file_id", "left_semi"), "source_id"), t, "__t")
     return joined.select("source_id", "source_name", "edge_type", F.coalesce(F.col("target_id").cast("string"), F.lit("")).alias("target_id"), F.coalesce("target_name", "target_module", F.lit("")).alias("target_name"))
 
 

@@ -174,3 +174,30 @@ def test_pairs_are_connected_without_walks_from_each(spark, monkeypatch):
     pairs = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 60, (80, 2)))] + [(100, 50, 53), (101, 53, 50), (102, 59, 59), (103, 53, 50), (103, 50, 52)]
     found = reach.connected(spark.createDataFrame(sorted(edges), "a long, b long"), spark.createDataFrame(pairs, "chain_id long, a long, b long"))
     assert sorted(r[0] for r in found.collect()) == sorted({i for i, a, b in pairs if b in seen[a]})
+
+
+def null_target_tasks(spark, df):
+    """Partitions that rows without a target end up in."""
+    return df.where("target_id IS NULL").select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+@pytest.fixture
+def dangling(spark):
+    """A graph of which half the edges have no target, with joins that shuffle."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    symbols = [(i, 1, f"s{i}", "class", "", 1, 2) for i in range(200)]
+    g = vectors_graph(spark, [], symbols, [(1, 1, "f", "go")])
+    e = spark.createDataFrame([(i, None if i % 2 else i * 7 % 230, "call", "m" if i % 2 else None) for i in range(200)], "source_id long, target_id long, edge_type string, target_module string")
+    yield Graph(None, g.files, g.symbols, e, None, None)
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_cascade_deals_out_edges_without_target(spark, dangling):
+    left = mutations.delete_symbols(dangling, dangling.symbols.where("symbol_id % 10 = 0")).edges
+    assert null_target_tasks(spark, left) > 1
+    want = [(i, None if i % 2 or i * 7 % 230 % 10 == 0 and i * 7 % 230 < 200 else i * 7 % 230) for i in range(200) if i % 10]
+    key = lambda r: (r[0], r[1] is None, r[1] or 0)
+    assert sorted(((r.source_id, r.target_id) for r in left.collect()), key=key) == sorted(want, key=key)
