@@ -201,3 +201,9 @@ def test_cascade_deals_out_edges_without_target(spark, dangling):
     want = [(i, None if i % 2 or i * 7 % 230 % 10 == 0 and i * 7 % 230 < 200 else i * 7 % 230) for i in range(200) if i % 10]
     key = lambda r: (r[0], r[1] is None, r[1] or 0)
     assert sorted(((r.source_id, r.target_id) for r in left.collect()), key=key) == sorted(want, key=key)
+
+
+def test_edges_with_symbols_deals_out_edges_without_target(spark, dangling):
+    found = relations.edges_with_symbols(dangling)
+    assert null_target_tasks(spark, found) > 1
+    assert {r.source_id: r.target_name for r in found.collect()} == {i: f"s{i * 7 % 230}" if i % 2 == 0 and i * 7 % 230 < 200 else None for i in range(200)}
