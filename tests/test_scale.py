@@ -207,3 +207,16 @@ def test_edges_with_symbols_deals_out_edges_without_target(spark, dangling):
     found = relations.edges_with_symbols(dangling)
     assert null_target_tasks(spark, found) > 1
     assert {r.source_id: r.target_name for r in found.collect()} == {i: f"s{i * 7 % 230}" if i % 2 == 0 and i * 7 % 230 < 200 else None for i in range(200)}
+
+
+def test_python_is_parsed_apart(spark):
+    """Names that the parser interns must not stay in the worker."""
+    src = [("a.py", "Python", b"import os\ndef f(x):\n    return g(x)\n"), ("b.py", "Python", b"def ("), ("c.go", "Go", b"package p\nfunc F() {\n\tG()\n}\n"), ("d.py", "Python", None), ("e.zz", "Zz", b"x")]
+    df = spark.createDataFrame(src, "path string, language string, content binary").coalesce(1)
+    want = {p: parsers.parse_text(p, x, c or b"") for p, x, c in src}
+    got = {r.path: r.asDict(True) for r in parsers.parse(df).collect()}
+    assert got == want
+    pids = []
+    assert parsers._apart(lambda: pids.append(1) or len(pids)) == 1 and pids == []
+    with pytest.raises(RuntimeError):
+        parsers._apart(lambda: 1 // 0)
